@@ -1,0 +1,63 @@
+"""Identifiers, titles and texts of paper records, brought to one notation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Entities that stand for one character.
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&micro;": "µ", "&ndash;": "–", "&mdash;": "—"}
+#: Titles that unrelated papers bear.
+STOCK_TITLES = ("untitled", "letter to the editor", "editorial", "corrigendum", "erratum", "correction", "retraction", "book review", "abstracts", "preface", "foreword", "commentary", "reply", "in this issue", "no title")
+#: Language of publishers, by which a sentence at either end of an abstract is a notice.
+NOTICE = r"(?i)(?:copyright\b|all rights reserved|protected by|©|^\(c\)\s|reproduction prohibited|without permission|published (?:under|by)\b|open[- ]licen[cs]e|\blicen[cs]ed under\b)"
+MARKS_OF_A_CUT = r"\s*(?:\.{3,}|…|[\[(](?:truncated|more|cut|continued|abridged|\.\.\.|…)[\])])\s*$"
+
+
+def doi(value: Column) -> Column:
+    """The DOI from ``10.`` on in lower case; null where there is none."""
+    return F.nullif(F.regexp_extract(F.lower(value), r"10\.\d+(?:\.\d+)*/\S+", 0), F.lit(""))
+
+
+def pmcid(value: Column) -> Column:
+    """``PMC`` and its digits; null where there are none."""
+    digits = F.regexp_extract(value, r"(?i)^\s*(?:https?://\S*/)?(?:pmc)?\s*:?\s*(?:pmc)?(\d+)(?:\.0)?\s*/?\s*$", 1)
+    return F.when(digits != "", F.concat(F.lit("PMC"), digits))
+
+
+def pmid(value: Column) -> Column:
+    """The digits of a PMID; null where there are none, and for zeros."""
+    digits = F.regexp_extract(value, r"(?i)^\s*(?:pmid)?\s*:?\s*0*([1-9]\d*)(?:\.0)?\s*$", 1)
+    return F.nullif(digits, F.lit(""))
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric entities as the characters they stand for (numeric ones of ASCII; others as one mark)."""
+    for name, char in ENTITIES.items():
+        if name != "&amp;":
+            text = F.replace(text, F.lit(name), F.lit(char))
+    for code in (32, 34, 35, 37, 38, 39, 40, 41, 43, 45, 47, 60, 61, 62, 91, 93, 160, 181):
+        text = F.regexp_replace(text, f"&#0*{code};", "\\\\$" if chr(code) == "$" else chr(code))
+    text = F.regexp_replace(text, r"&#[xX]?[0-9A-Fa-f]+;", "·")
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def strip_tags(text: Column) -> Column:
+    """Text without mark-up tags, entities read."""
+    return unescape(F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,200}>", ""))
+
+
+def title_key(title: Column) -> Column:
+    """A title's letters and digits in lower case; null where none are left."""
+    return F.nullif(F.regexp_replace(F.lower(strip_tags(title)), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+
+
+def own_text(abstract: Column) -> Column:
+    """The abstract without mark-up, entities, spacing, marks of a cut and publisher notices.
+
+    Notices are taken off sentence by sentence at either end; what remains is returned without any white space.
+    """
+    plain = F.trim(F.regexp_replace(strip_tags(abstract), r"[\s\p{Z}]+", " "))
+    plain = F.regexp_replace(plain, MARKS_OF_A_CUT, "")
+    parts = F.filter(F.split(plain, r"(?<=[.!?)])\s+(?=[\p{Lu}(\[©])"), lambda s: ~s.rlike(NOTICE))
+    return F.regexp_replace(F.array_join(parts, ""), r"[\s\p{Z}]+|<\p{L}*$|&#?\p{L}*$", "")
