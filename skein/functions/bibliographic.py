@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entities that stand for one character.
-ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&micro;": "µ", "&ndash;": "–", "&mdash;": "—"}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&micro;": "µ", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 #: Titles that unrelated papers bear.
 STOCK_TITLES = ("untitled", "letter to the editor", "editorial", "corrigendum", "erratum", "correction", "retraction", "book review", "abstracts", "preface", "foreword", "commentary", "reply", "in this issue", "no title")
-#: Language of publishers, by which a sentence at either end of an abstract is a notice.
-NOTICE = r"(?i)(?:copyright\b|all rights reserved|protected by|©|^\(c\)\s|reproduction prohibited|without permission|published (?:under|by)\b|open[- ]licen[cs]e|\blicen[cs]ed under\b)"
-MARKS_OF_A_CUT = r"\s*(?:\.{3,}|…|[\[(](?:truncated|more|cut|continued|abridged|\.\.\.|…)[\])])\s*$"
+#: A publisher's notice or a mark of a cut, which may close an abstract; several may follow each other.
+NOTICE = r"(?:\([cC]\)|©|[Cc]opyright\b|This (?:article|work|paper) is|[Ff]urther reproduction|[Pp]ublished (?:under|by|in|with)|[Aa]ll rights reserved|[Rr]eproduced with)[^.!?]{0,200}[.!?]?"
+MARK_OF_A_CUT = r"(?:\.{3,}|…|[\[(](?i:(?:abstract )?truncated|more|cut|continued|abridged|\.\.\.|…)[\])])"
+CLOSING = rf"(?:(?:^|\s+){NOTICE}|\s*{MARK_OF_A_CUT})+\s*$"
 
 
 def doi(value: Column) -> Column:
@@ -31,20 +34,31 @@ def pmid(value: Column) -> Column:
     return F.nullif(digits, F.lit(""))
 
 
-def unescape(text: Column) -> Column:
-    """Named and numeric entities as the characters they stand for (numeric ones of ASCII; others as one mark)."""
-    for name, char in ENTITIES.items():
-        if name != "&amp;":
-            text = F.replace(text, F.lit(name), F.lit(char))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _numeric(text: Column) -> Column:
     for code in (32, 34, 35, 37, 38, 39, 40, 41, 43, 45, 47, 60, 61, 62, 91, 93, 160, 181):
-        text = F.regexp_replace(text, f"&#0*{code};", "\\\\$" if chr(code) == "$" else chr(code))
-    text = F.regexp_replace(text, r"&#[xX]?[0-9A-Fa-f]+;", "·")
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+        text = F.replace(text, F.lit(f"&#{code};"), F.lit(chr(code)))
+    return F.regexp_replace(text, r"&#[xX]?[0-9A-Fa-f]+;", "·")
+
+
+def _named(text: Column) -> Column:
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def unescape(text: Column) -> Column:
+    """Entities as the characters they stand for; numeric ones outside ASCII become one mark each."""
+    return let(text, lambda t: F.when(t.contains("&"), _named(_numeric(t))).otherwise(t))
 
 
 def strip_tags(text: Column) -> Column:
     """Text without mark-up tags, entities read."""
-    return unescape(F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,200}>", ""))
+    return unescape(let(text, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"</?[A-Za-z][^<>]{0,200}>", "")).otherwise(t)))
 
 
 def title_key(title: Column) -> Column:
@@ -52,12 +66,16 @@ def title_key(title: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(strip_tags(title)), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
+def plain_text(abstract: Column) -> Column:
+    """The abstract without mark-up and entities, white space made single."""
+    return F.trim(F.regexp_replace(strip_tags(abstract), r"[\s\p{Z}]+", " "))
+
+
+def body(plain: Column) -> Column:
+    """A plain text without the notices and marks of a cut that close it."""
+    return F.trim(F.regexp_replace(plain, CLOSING, ""))
+
+
 def own_text(abstract: Column) -> Column:
-    """The abstract without mark-up, entities, spacing, marks of a cut and publisher notices.
-
-    Notices are taken off sentence by sentence at either end; what remains is returned without any white space.
-    """
-    plain = F.trim(F.regexp_replace(strip_tags(abstract), r"[\s\p{Z}]+", " "))
-    plain = F.regexp_replace(plain, MARKS_OF_A_CUT, "")
-    parts = F.filter(F.split(plain, r"(?<=[.!?)])\s+(?=[\p{Lu}(\[©])"), lambda s: ~s.rlike(NOTICE))
-    return F.regexp_replace(F.array_join(parts, ""), r"[\s\p{Z}]+|<\p{L}*$|&#?\p{L}*$", "")
+    """The abstract's own text: without mark-up, entities, spacing, marks of a cut and publisher notices."""
+    return F.regexp_replace(body(plain_text(abstract)), r"\s+|<\p{L}*$|&#?\p{L}*$", "")
