@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import bibliographic as bib
+from skein.llm.leak import leaks
 from skein.llm.pack import fill_containers, token_count
 from skein.llm.split import split_texts
 from skein.llm.survivor import Bundle, survivors
+from skein.llm.truncated import truncated
 from skein.operators.components import components
 from skein.session import cut, table
 
@@ -31,6 +33,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece = 1").select("item", "item_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose abstract was cut off."""
+    return truncated(table(spark, sf_dir, "paper_records").select("rec_id", "abstract"), "rec_id", "abstract").where("cut").select("rec_id")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each source's non-empty abstracts that are cut."""
+    records = table(spark, sf_dir, "paper_records").select("rec_id", "source", "abstract")
+    judged = truncated(records, "rec_id", "abstract")
+    counts = judged.join(records.select("rec_id", "source"), "rec_id").groupBy("source").agg(F.count("*").alias("abstracts"), F.count_if("cut").alias("cut"))
+    return counts.withColumn("share", F.round(F.col("cut") / F.col("abstracts"), 6))
+
+
 def paper_groups(records: DataFrame) -> DataFrame:
     """(rec_id, component): records of one paper, by DOI, PMCID, PMID, or title and year; single records are left out.
 
@@ -73,5 +88,12 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "tokens", capacity=2048)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p6_containers": p6_containers}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text")
+    return leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found}
 SQL: dict[str, str] = {}
