@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import bibliographic as bib
 from skein.llm.leak import leaks
 from skein.llm.pack import fill_containers, token_count
+from skein.llm.spans import shared_runs
 from skein.llm.split import split_texts
 from skein.llm.survivor import Bundle, survivors
 from skein.llm.truncated import truncated
@@ -95,5 +96,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each document that other documents hold word for word."""
+    return shared_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document with shared stretches is shared elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n"))
+    shared = p8_found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("runs"), F.sum(F.col("to_char") - F.col("from_char")).alias("shared_chars"))
+    return shared.join(docs, "doc_id").select("doc_id", "runs", "shared_chars", F.round(F.col("shared_chars") / F.col("n"), 6).alias("share"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
