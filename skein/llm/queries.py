@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from skein.functions import bibliographic as bib
 from skein.llm.leak import leaks
+from skein.llm.names import variant_pairs, variants
 from skein.llm.pack import fill_containers, token_count
 from skein.llm.spans import shared_runs
 from skein.llm.split import split_texts
 from skein.llm.survivor import Bundle, survivors
 from skein.llm.truncated import truncated
 from skein.operators.components import components
+from skein.operators.packed import unpack_rows
 from skein.session import cut, table
 
 #: Where the public tokenizers are; set SKEIN_TOKENIZERS to use another folder.
@@ -47,6 +49,12 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("cut") / F.col("abstracts"), 6))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spellings of one author or group."""
+    authors = unpack_rows(table(spark, sf_dir, "paper_records").select("authors"), "authors", value="author").select("author")
+    return variant_pairs(variants(authors, "author"))
+
+
 def paper_groups(records: DataFrame) -> DataFrame:
     """(rec_id, component): records of one paper, by DOI, PMCID, PMID, or title and year; single records are left out.
 
@@ -108,5 +116,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.join(docs, "doc_id").select("doc_id", "runs", "shared_chars", F.round(F.col("shared_chars") / F.col("n"), 6).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
