@@ -68,14 +68,19 @@ def title_key(title: Column) -> Column:
 
 def plain_text(abstract: Column) -> Column:
     """The abstract without mark-up and entities, white space made single."""
-    return F.trim(F.regexp_replace(strip_tags(abstract), r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(strip_tags(abstract), r"[\s\p{Z}&&[^ ]]", " "), " {2,}", " "))
+
+
+def closing(plain: Column) -> Column:
+    """The notices and marks of a cut that close a plain text, which may be empty; looked for in its last 1,000 characters."""
+    return F.regexp_extract(F.right(plain, F.lit(1000)), CLOSING, 0)
 
 
 def body(plain: Column) -> Column:
     """A plain text without the notices and marks of a cut that close it."""
-    return F.trim(F.regexp_replace(plain, CLOSING, ""))
+    return let(plain, lambda t: F.trim(F.left(t, F.char_length(t) - F.char_length(closing(t)))))
 
 
 def own_text(abstract: Column) -> Column:
     """The abstract's own text: without mark-up, entities, spacing, marks of a cut and publisher notices."""
-    return F.regexp_replace(body(plain_text(abstract)), r"\s+|<\p{L}*$|&#?\p{L}*$", "")
+    return F.regexp_replace(body(plain_text(abstract)), r"\s+|[<&][#/]?\p{L}*$", "")
