@@ -21,7 +21,7 @@ from skein.functions import bibliographic as bib
 from skein.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 6
+BANDS, ROWS = 12, 5
 _WORD = re.compile(r"[^\W_]+")
 #: Unfinished mark-up or entity at the end of a text.
 BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|&#?[A-Za-z0-9]*)\s*$"
@@ -79,46 +79,47 @@ def band_hashes(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(bands, "k long, bucket long, size int")
 
 
-def align(short: str, long: str) -> str | None:
-    """How ``short`` ends against its longer near-copy: ``cut``, ``whole``, or None where the copy does not decide."""
+def _similar(short: str, long: str) -> bool:
     cache: dict[str, int] = {}
     x, y = shingles(short, cache), shingles(long, cache)
     same = len(np.intersect1d(x, y, assume_unique=True))
-    if same < SIMILARITY * (len(x) + len(y) - same):
-        return None
+    return same >= SIMILARITY * (len(x) + len(y) - same)
+
+
+def align(short: str, long: str) -> str | None:
+    """How ``short`` ends against its longer near-copy: ``cut``, ``whole``, or None where the copy does not decide."""
     tokens = short.split()
     if len(tokens) < 4:
         return None
     # The last whole words of the short text, found in the long one; its last token may be a part of a word.
-    for back in (0, 1):
-        tail = " ".join(tokens[-8 - back : len(tokens) - back or None])
-        at = long.rfind(tail)
-        if at < 0:
-            continue
-        end = at + len(tail)
-        rest = long[end:]
-        if back == 0:
-            if not rest.strip():
-                return None
-            if rest[0].isalnum() and tail[-1].isalnum():
-                return "cut"
-            return "whole" if re.search(TERMINATED, tail) and rest[0].isspace() else "cut"
-        following = rest.split(maxsplit=1)
-        if following and following[0] != tokens[-1] and following[0].startswith(tokens[-1].rstrip(".,;:")):
-            return "cut"
-        return None
+    tail = " ".join(tokens[-8:])
+    at = long.rfind(tail)
+    if at >= 0:
+        rest = long[at + len(tail) :]
+        if not rest.strip():
+            return None
+        if rest[0].isalnum() and tail[-1].isalnum():
+            verdict = "cut"
+        else:
+            verdict = "whole" if re.search(TERMINATED, tail) and rest[0].isspace() else "cut"
+        return verdict if _similar(short, long) else None
+    tail = " ".join(tokens[-9:-1])
+    at = long.rfind(tail)
+    following = long[at + len(tail) :].split(maxsplit=1) if at >= 0 else []
+    part = tokens[-1].rstrip(".,;:")
+    if following and part and following[0] != tokens[-1] and following[0].startswith(part) and _similar(short, long):
+        return "cut"
     return None
 
 
 def _near_copies(texts: DataFrame) -> DataFrame:
-    """(k, verdict) of the records that a near-copy decides; texts has (k, body), equal bodies once."""
-    bands = band_hashes(texts, "k", "body")
-    longest = bands.groupBy("bucket").agg(F.max(F.struct("size", "k")).alias("top"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    longest = longest.where("lo < hi").select("bucket", F.col("top.k").alias("partner"))
-    pairs = bands.join(longest, "bucket").where("k <> partner").select("k", "partner").distinct()
+    """(k, verdict) of the records that a near-copy decides; texts has (k, body)."""
+    bands = cut(band_hashes(texts, "k", "body"))
+    longest = bands.groupBy("bucket").agg(F.max(F.struct("size", "k")).alias("top"), F.min("size").alias("least")).where("least < top.size").select("bucket", "top.size", F.col("top.k").alias("partner"))
+    pairs = bands.withColumnRenamed("size", "own").join(longest, "bucket").where("own < size").select("k", "partner").distinct()
     verdict = F.pandas_udf(lambda a, b: pd.Series([align(x, y) for x, y in zip(a, b)], dtype=object), "string")
     other = texts.select(F.col("k").alias("partner"), F.col("body").alias("longer"))
-    judged = pairs.join(texts, "k").join(other, "partner").select("k", verdict("body", "longer").alias("verdict")).where("verdict is not null")
+    judged = pairs.join(texts.select("k", "body"), "k").join(other, "partner").select("k", verdict("body", "longer").alias("verdict")).where("verdict is not null")
     return judged.groupBy("k").agg(F.min("verdict").alias("verdict"))  # cut before whole
 
 
@@ -133,38 +134,36 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     (scored by terminality), or null for an uncut text. ``key`` is a unique number. Null and blank texts give no row;
     equal texts are judged alike; an empty table gives none. Closing notices of publishers are looked behind.
     """
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("raw")).where("k is not null").where(F.col("raw").rlike(r"\S")).withColumn("plain", bib.plain_text(F.col("raw")))
-    rows = rows.withColumn("body", bib.body(F.col("plain")))
-    end = F.regexp_replace(F.col("raw"), bib.CLOSING, "")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("raw")).where("k is not null").where(F.col("raw").rlike(r"\S"))
+    rows = rows.withColumn("plain", bib.plain_text(F.col("raw")))
+    rows = rows.withColumn("closing", bib.closing(F.col("plain"))).withColumn("end", F.right("raw", F.lit(1000)))
+    rows = rows.withColumn("body", F.trim(F.expr("left(plain, char_length(plain) - char_length(closing))"))).withColumn("end", F.regexp_replace("end", bib.CLOSING, ""))
+    sentences = F.transform(F.split("body", SENTENCES), lambda s: F.struct(_lead(s, 1).alias("lead1"), _lead(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed"), F.least(F.size(F.split(s, r"\s+", 4)), F.lit(3)).alias("words")))
     rows = cut(
         rows.select(
-            "k", "body", F.xxhash64("body").alias("h"),
-            F.regexp_extract("plain", bib.CLOSING, 0).rlike(bib.MARK_OF_A_CUT).alias("marked"),
-            (end.rlike(BROKEN) & ~end.rlike(r"</?[A-Za-z][^<>]*>\s*$")).alias("markup"),
+            "k", "body", (F.col("plain") != "").alias("filled"), (F.col("body") != "").alias("written"), sentences.alias("sentences"), F.col("closing").rlike(bib.MARK_OF_A_CUT).alias("marked"),
+            (F.col("end").rlike(BROKEN) & ~F.col("end").rlike(r"</?[A-Za-z][^<>]*>\s*$")).alias("markup"),
         )
-    )
-    firsts = rows.where("body <> ''").groupBy("h").agg(F.min("k").alias("k"))
-    texts = rows.select("k", "body").join(firsts.select("k"), "k", "left_semi")
-    copies = _near_copies(texts).join(firsts.withColumnRenamed("k", "first"), F.col("k") == F.col("first")).select("h", "verdict")
+    ).where("filled")
+    copies = _near_copies(rows.where("written").select("k", "body"))
 
-    # Terminality by the whole corpus: how sentences with this beginning end, and whether this last word ends sentences.
-    parts = texts.select("k", F.posexplode(F.split("body", SENTENCES)).alias("i", "s"), F.size(F.split("body", SENTENCES)).alias("n"))
-    parts = parts.select(_lead(F.col("s"), 1).alias("lead1"), _lead(F.col("s"), 2).alias("lead2"), (F.col("i") == F.col("n") - 1).alias("last"), F.col("s").rlike(TERMINATED).alias("closed"))
+    # Terminality by the whole corpus: how sentences with this beginning end.
+    parts = rows.where("written").select(F.posexplode("sentences").alias("i", "s"), F.size("sentences").alias("n"))
+    parts = parts.select("s.lead1", "s.lead2", "s.closed", (F.col("i") == F.col("n") - 1).alias("last"))
     open_ = F.sum(F.when(F.col("last") & ~F.col("closed"), 1).otherwise(0)).alias("open")
     closed = F.sum(F.when(F.col("closed"), 1).otherwise(0)).alias("closed")
     by2 = parts.groupBy("lead1", "lead2").agg(open_, closed)
     by2 = cut(by2)
     by1 = by2.groupBy("lead1").agg(F.sum("open").alias("open1"), F.sum("closed").alias("closed1"))
-    tail = F.element_at(F.split("body", SENTENCES), -1)
-    ends = rows.select("k", "h", "marked", "markup", "body", tail.alias("tail"))
-    unsure = ends.where(~F.col("tail").rlike(TERMINATED) & (F.col("body") != "")).select("k", _lead(F.col("tail"), 1).alias("lead1"), _lead(F.col("tail"), 2).alias("lead2"), F.size(F.split("tail", r"\s+")).alias("words"))
+    ends = rows.select("k", "marked", "markup", "written", F.element_at("sentences", -1).alias("s"))
+    unsure = ends.where("not s.closed and written").select("k", "s.lead1", "s.lead2", "s.words")
     score2, score1 = F.col("open") / (F.col("open") + F.col("closed")), F.col("open1") / (F.col("open1") + F.col("closed1"))
     enough = (F.col("words") > 2) & (F.col("open") + F.col("closed") >= 3)
     scored = unsure.join(by2, ["lead1", "lead2"], "left").join(by1, "lead1", "left")
     # A first word that begins many sentences settles it; two words tell kinds of closing matter apart.
     plainly = (F.col("closed1") >= 20) & (score1 < 0.05)
     scored = scored.select("k", ((F.col("words") < 2) | plainly | ~(F.when(enough, score2).otherwise(score1) >= 0.5)).alias("broken_off"))
-    out = ends.drop("body").join(scored, "k", "left").join(copies, "h", "left")
+    out = ends.select("k", "marked", "markup").join(scored, "k", "left").join(copies, "k", "left")
     reason = (
         F.when(F.col("marked"), "marked").when(F.col("markup"), "markup").when(F.col("verdict") == "cut", "copy")
         .when(F.col("verdict").isNull() & F.coalesce("broken_off", F.lit(False)), "closing")
