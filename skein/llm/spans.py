@@ -135,7 +135,8 @@ def shared_runs(df: DataFrame, key: str, text: str, span: int = 320, k: int = 16
                     yield pd.concat(out)
 
     windows = cut(again.join(compare, "d").select("d", "t", "parts").mapInPandas(compared, "d long, w long, x int, many boolean"))
-    common = windows.groupBy("w").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("w")
+    # A window of a shared edge stands in two documents, so at least one of them is another one.
+    common = windows.groupBy("w").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("many").alias("many")).where("lo < hi or many").select("w")
     single = windows.where("not many").join(common, "w", "left_semi").select("d", "x", (F.col("x") + span).alias("y"))
     order = Window.partitionBy("d").orderBy("x", "y")
     reach = F.max("y").over(order.rowsBetween(Window.unboundedPreceding, -1))
