@@ -1,11 +1,10 @@
 """Evaluation texts leaking into training text: an inverted index of the test items, queried by every passage.
 
-The items' words are indexed with BM25 weights and block maxima. Every passage of the corpus is a query. As in WAND an
-item is met only through its essential terms, those without which no leak of it can reach its threshold, so a passage
-without any costs a set lookup a word; around the others blocks of items are passed over by their maxima, and items
-that reach their threshold are retrieved. The threshold is the least score that a leaked half can have in the larger
-of its two passages, so retrieval loses nothing; an alignment of the words in order then decides. One scan of the
-corpus, no shuffle.
+The items' words are indexed with BM25 weights and block maxima. Every passage of the corpus is a query. Upper bounds
+come first, as in block-max WAND: a document whose words cannot add up to an item's threshold is passed over with that
+item, then every passage that cannot, then every block of items; what is left is scored and retrieved. Thresholds are
+the least scores that a leaked half of an item can have, in all and in the larger of its two passages, so retrieval
+loses nothing; an alignment of the words in order then decides. One scan of the corpus, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 #: Share of a passage's BM25 weight that must be matched: the template of a statement with other terms is no leak.
-FIRM = 0.8
+FIRM = 0.7
 _INLINE = re.compile(r"</?(?:i|b|u|em|strong|sub|sup|span|a|mark|small|tt|code|font)\b[^<>]{0,200}>", re.IGNORECASE)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _BROKEN = re.compile(r"(?<=\w)[-‐­]\s*[\r\n]+\s*(?=\w)")
@@ -61,54 +60,52 @@ class Index:
         self.block_of = {i: k // block for k, i in enumerate(order)}
         self.reach = max(map(len, self.words.values()), default=0)
         self.weight: dict[int, dict[str, float]] = {}
-        self.least: dict[int, float] = {}
-        self.essential: dict[str, list[int]] = defaultdict(list)
+        self.postings: dict[str, dict[int, float]] = defaultdict(dict)
         self.maxima: dict[str, dict[int, float]] = defaultdict(dict)
+        #: Least score of all that is held of an item, and of its larger passage; the latter also by block.
+        self.least_held: dict[int, float] = {}
+        self.least: dict[int, float] = {}
         self.block_least: dict[int, float] = {}
         for i, own in self.words.items():
             norm, k = K1 * (1 - B + B * len(own) * n / size), self.block_of[i]
             tf = {w: own.count(w) for w in own}
             weight = self.weight[i] = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in tf.items()}
             half = math.ceil(share * len(own))
-            length = max(1, -(-half // 2))
-            # One of at most two passages has half of what must be held, and of its weight the firm share.
-            self.least[i] = firm * min(sum(weight[w] for w in set(own[a : a + length])) for a in range(len(own) - length + 1)) - 1e-9
+            lightest = [0.0] + [min(sum(weight[w] for w in set(own[a : a + size])) for a in range(len(own) - size + 1)) for size in range(1, half + 1)]
+            twice = sum(x for w, x in weight.items() if tf[w] > 1)
+            self.least[i] = firm * lightest[-(-half // 2)] - 1e-9
+            self.least_held[i] = max(self.least[i], firm * min(lightest[a] + lightest[half - a] for a in range(half + 1)) - twice - 1e-9)
             self.block_least[k] = min(self.block_least.get(k, math.inf), self.least[i])
             for w, x in weight.items():
+                self.postings[w][i] = x
                 self.maxima[w][k] = max(self.maxima[w].get(k, 0.0), x)
-            for w in self._needed(own, weight, df, half, firm):
-                self.essential[w].append(i)
-
-    @staticmethod
-    def _needed(own: list[str], weight: dict[str, float], df: dict[str, int], half: int, firm: float) -> set[str]:
-        """The fewest rare terms without all of which two passages cannot hold ``half`` of the words firmly."""
-        for most in sorted(set(df[w] for w in own)):
-            slack = [weight[w] * ((df[w] > most) - firm) for w in own]
-            longest = 0
-            for a in range(len(own)):
-                total = 0.0
-                for b in range(a, len(own)):
-                    total += slack[b]
-                    if total >= 0:
-                        longest = max(longest, b - a + 1)
-            if 2 * longest < half:
-                return {w for w in own if df[w] <= most}
-        return set(own)
+        self.top = {w: max(p.values()) for w, p in self.postings.items()}
+        self.floor = min(self.least_held.values(), default=math.inf)
 
     def candidates(self, text: list[str]) -> set[int]:
-        """Items retrieved by any passage around an essential term."""
+        """Items retrieved by any passage; passages are twice as long as the longest item and overlap by half."""
         found: set[int] = set()
-        if self.essential.keys().isdisjoint(text):
+        present = self.top.keys() & set(text)
+        if sum(map(self.top.__getitem__, present)) < self.floor:
+            return found
+        score: dict[int, float] = defaultdict(float)
+        for w in present:
+            for i, x in self.postings[w].items():
+                score[i] += x
+        open_ = {i for i, x in score.items() if x >= self.least_held[i]}
+        if not open_:
             return found
-        for j, w in enumerate(text):
-            for i in self.essential.get(w, ()):
-                if i in found:
-                    continue
-                passage, k = set(text[max(0, j - self.reach) : j + self.reach]), self.block_of[i]
-                if sum(m[k] for t in passage if (m := self.maxima.get(t)) and k in m) < self.block_least[k]:
-                    continue
-                weight = self.weight[i]
-                if sum(weight[t] for t in passage if t in weight) >= self.least[i]:
+        floor = min(map(self.least.__getitem__, open_))
+        for a in range(0, max(1, len(text) - self.reach), self.reach):
+            terms = present.intersection(text[a : a + 2 * self.reach])
+            if sum(map(self.top.__getitem__, terms)) < floor:
+                continue
+            bound: dict[int, float] = defaultdict(float)
+            for w in terms:
+                for k, x in self.maxima[w].items():
+                    bound[k] += x
+            for i in open_ - found:
+                if bound[self.block_of[i]] >= self.least[i] and sum(map(self.weight[i].get, terms & self.weight[i].keys())) >= self.least[i]:
                     found.add(i)
         return found
 
