@@ -111,7 +111,7 @@ def fill_containers(df: DataFrame, key: str, size: str, capacity: int = 2048, fu
     own, the last part is packed like an item. A size of 0 takes one unit, so that a container's members stay bounded;
     null sizes and keys give no row. An empty table gives none. Every task packs up to about ``per_task`` numbers.
     """
-    items = df.select(F.col(key).cast("long").alias("_k"), F.greatest(F.col(size).cast("long"), F.lit(1)).alias("_n")).where("_k is not null and _n is not null")
+    items = df.select(F.col(key).cast("long").alias("_k"), F.col(size).cast("long").alias("_n")).where("_k is not null and _n is not null").withColumn("_n", F.greatest("_n", F.lit(1)))
     last = F.expr(f"cast((_n - 1) div {capacity} as int)")
     parts = items.select("_k", "_n", F.explode(F.sequence(F.lit(0), last)).alias("_p"), last.alias("_l"))
     parts = parts.select("_k", F.col("_p").alias("part"), (F.col("_p").cast("long") * capacity).alias("a"), F.least(F.col("_n"), (F.col("_p").cast("long") + 1) * capacity).alias("b"), "_l")

@@ -133,6 +133,11 @@ def _pack(text: str, nodes: list[tuple[str, int, int, int]], cap: int) -> list[S
             groups.append([n])
         else:
             groups[-1].append(n)
+    if len(groups) > 1 and own and len(groups[0]) == 1:  # a heading directly over a heading
+        first = groups[1][0]
+        groups = [[(first[0], first[1], nodes[0][2], first[3]), *groups[1][1:]], *groups[2:]]
+        if len(groups) == 1:
+            return _pack(text, groups[0], cap)
     if len(groups) == 1:  # one heading over all; it opens its first block and is not left alone at a piece's end
         head, first = nodes[0], nodes[1]
         if first[0] == "heading":

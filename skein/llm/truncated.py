@@ -26,6 +26,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: Unfinished mark-up or entity at the end of a text.
 BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|&#?[A-Za-z0-9]*)\s*$"
 SENTENCES = r"(?<=[.!?])\s+(?=[\p{Lu}(\[])"
+#: What closing matter looks like where the corpus has too little of it: in brackets, a label and a colon, or a code.
+CLOSING_FORM = r"^\(.*\)$|^[^.:]{2,40}:\s\S|\s\S*\d{3}\S*$"
 TERMINATED = r"[.!?][\"'”’)\]]*$"
 
 
@@ -138,7 +140,7 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("plain", bib.plain_text(F.col("raw")))
     rows = rows.withColumn("closing", bib.closing(F.col("plain"))).withColumn("end", F.right("raw", F.lit(1000)))
     rows = rows.withColumn("body", F.trim(F.expr("left(plain, char_length(plain) - char_length(closing))"))).withColumn("end", F.regexp_replace("end", bib.CLOSING, ""))
-    sentences = F.transform(F.split("body", SENTENCES), lambda s: F.struct(_lead(s, 1).alias("lead1"), _lead(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed"), F.least(F.size(F.split(s, r"\s+", 4)), F.lit(3)).alias("words")))
+    sentences = F.transform(F.split("body", SENTENCES), lambda s: F.struct(_lead(s, 1).alias("lead1"), _lead(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed"), F.least(F.size(F.split(s, r"\s+", 4)), F.lit(3)).alias("words"), s.rlike(CLOSING_FORM).alias("form")))
     rows = cut(
         rows.select(
             "k", "body", (F.col("plain") != "").alias("filled"), (F.col("body") != "").alias("written"), sentences.alias("sentences"), F.col("closing").rlike(bib.MARK_OF_A_CUT).alias("marked"),
@@ -156,13 +158,15 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     by2 = cut(by2)
     by1 = by2.groupBy("lead1").agg(F.sum("open").alias("open1"), F.sum("closed").alias("closed1"))
     ends = rows.select("k", "marked", "markup", "written", F.element_at("sentences", -1).alias("s"))
-    unsure = ends.where("not s.closed and written").select("k", "s.lead1", "s.lead2", "s.words")
+    unsure = ends.where("not s.closed and written").select("k", "s.lead1", "s.lead2", "s.words", "s.form")
     score2, score1 = F.col("open") / (F.col("open") + F.col("closed")), F.col("open1") / (F.col("open1") + F.col("closed1"))
     enough = (F.col("words") > 2) & (F.col("open") + F.col("closed") >= 3)
     scored = unsure.join(by2, ["lead1", "lead2"], "left").join(by1, "lead1", "left")
     # A first word that begins many sentences settles it; two words tell kinds of closing matter apart.
     plainly = (F.col("closed1") >= 20) & (score1 < 0.05)
-    scored = scored.select("k", ((F.col("words") < 2) | plainly | ~(F.when(enough, score2).otherwise(score1) >= 0.5)).alias("broken_off"))
+    rare = F.col("open1") + F.col("closed1") < 3
+    likely = F.when(rare, F.col("form").cast("double")).when(enough, score2).otherwise(score1)
+    scored = scored.select("k", ((F.col("words") < 2) | plainly | ~(likely >= 0.5)).alias("broken_off"))
     out = ends.select("k", "marked", "markup").join(scored, "k", "left").join(copies, "k", "left")
     reason = (
         F.when(F.col("marked"), "marked").when(F.col("markup"), "markup").when(F.col("verdict") == "cut", "copy")
