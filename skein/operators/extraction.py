@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import scalars as S
@@ -28,8 +28,10 @@ def validate(items: DataFrame, min_confidence: float = V.MIN_CONFIDENCE, text: s
     })
     kept = kept.where((F.col("subject") != "") & (F.col("object") != "") & (F.col("relation") != "") & (F.lower("subject") != F.lower("object")))
     kept = kept.where(S.valid_entity(F.col("subject")) & S.valid_entity(F.col("object")) & (F.col("confidence") >= min_confidence))
-    order = Window.partitionBy("chunk_id", F.lower("subject"), "relation", F.lower("object")).orderBy(F.desc("confidence"), "seq")
-    best = kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    rest = [c for c in kept.columns if c not in ("confidence", "seq")]
+    first = F.min(F.struct((-F.col("confidence")).alias("_less"), "seq", *rest)).alias("_b")
+    best = kept.groupBy(F.col("chunk_id").alias("_c"), F.lower("subject").alias("_s"), F.col("relation").alias("_r"), F.lower("object").alias("_o")).agg(first)
+    best = best.select((-F.col("_b._less")).alias("confidence"), F.col("_b.seq").alias("seq"), *[F.col(f"_b.{c}").alias(c) for c in rest])
     if text is None:
         return best
     return best.withColumn("provenance_snippet", T.find_snippet("provenance_snippet", text, "subject", "object"))

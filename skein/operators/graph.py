@@ -33,12 +33,14 @@ def relation_papers(rows: DataFrame) -> DataFrame:
     return named.groupBy(*key).agg(F.min(F.struct("seq", "confidence")).alias("f"), F.min("year").alias("year")).select(*key, F.col("f.seq").alias("seq"), F.col("f.confidence").alias("confidence"), "year")
 
 
-def relations(papers: DataFrame) -> DataFrame:
-    """Edges with papers in first-seen order, support, summed and mean confidence, and first year."""
-    edges = papers.groupBy("source", "type", "target").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "paper_id"))), lambda p: p["paper_id"]).alias("papers"),
-        F.count("*").cast("int").alias("support"), F.sum("confidence").alias("conf_sum"), F.min("year").alias("first_year"),
-    )
+def relations(papers: DataFrame, listed: bool = False) -> DataFrame:
+    """Edges with support, summed and mean confidence, and first year; ``listed`` adds the papers in first-seen order.
+
+    An edge's list of papers grows with its evidence, so only results that show it ask for it; joins use the rows of
+    ``relation_papers``.
+    """
+    more = [F.transform(F.array_sort(F.collect_list(F.struct("seq", "paper_id"))), lambda p: p["paper_id"]).alias("papers")] if listed else []
+    edges = papers.groupBy("source", "type", "target").agg(F.count("*").cast("int").alias("support"), F.sum("confidence").alias("conf_sum"), F.min("year").alias("first_year"), *more)
     return edges.withColumn("confidence", F.col("conf_sum") / F.col("support"))
 
 

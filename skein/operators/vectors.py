@@ -14,10 +14,19 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     return _last(keyed, ["index", "text"])
 
 
-def provenance_rows(triplets: DataFrame) -> DataFrame:
-    """Snippets of triplets under ids that include the row's place in its paper; blank snippets are no evidence."""
-    place = Window.partitionBy("paper_id").orderBy("seq", "subject", "relation", "object")
-    rows = triplets.withColumn("place", F.row_number().over(place) - 1).where(F.trim(F.coalesce("provenance_snippet", F.lit(""))) != "")
+def provenance_rows(triplets: DataFrame, range_size: int = 1 << 16) -> DataFrame:
+    """Snippets of triplets under ids that include the row's place in its paper; blank snippets are no evidence.
+
+    Places are counted in ranges of ``seq`` and shifted by what the paper has in earlier ranges, so a paper with a
+    large share of all rows is no single task.
+    """
+    part = triplets.withColumn("_range", F.floor(F.col("seq") / range_size))
+    inside = Window.partitionBy("paper_id", "_range").orderBy("seq", "subject", "relation", "object")
+    earlier = Window.partitionBy("_paper").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = part.groupBy(F.col("paper_id").alias("_paper"), F.col("_range").alias("_r")).agg(F.count("*").alias("n"))
+    shift = counts.select("_paper", "_r", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_shift"))
+    placed = part.withColumn("_place", F.row_number().over(inside) - 1).join(shift, F.col("paper_id").eqNullSafe(F.col("_paper")) & (F.col("_range") == F.col("_r")))
+    rows = placed.withColumn("place", F.col("_place") + F.col("_shift")).drop("_range", "_r", "_paper", "_shift", "_place").where(F.trim(F.coalesce("provenance_snippet", F.lit(""))) != "")
     keyed = rows.withColumn("id", S.stable_id(F.col("paper_id"), F.col("subject"), F.col("relation"), F.col("object"), F.col("place"), F.substring("provenance_snippet", 1, 48)))
     return _last(keyed.withColumnRenamed("provenance_snippet", "text"), ["place"])
 
@@ -67,9 +76,9 @@ def edge_evidence(evidence: DataFrame, limit: int, **filters) -> DataFrame:
     return evidence.where(edge_filter(**filters)).orderBy(F.desc_nulls_last("confidence"), "id").limit(limit)
 
 
-def evidence_of(edges: DataFrame, evidence: DataFrame, limit: int = 2) -> DataFrame:
-    """For every edge (source, type, target, papers) its most confident snippets from its own papers and relation."""
-    wanted = edges.select("source", "type", "target", F.explode("papers").alias("paper_id"), F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"))
+def evidence_of(edge_papers: DataFrame, evidence: DataFrame, limit: int = 2) -> DataFrame:
+    """For every edge its most confident snippets from its own papers and relation; one row (source, type, target, paper_id) per paper."""
+    wanted = edge_papers.select("source", "type", "target", "paper_id", F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"))
     held = evidence.select("id", "text", "confidence", "paper_id", F.col("relation").alias("type"), F.least("subject", "object").alias("u"), F.greatest("subject", "object").alias("v"))
     order = Window.partitionBy("source", "type", "target").orderBy(F.desc_nulls_last("confidence"), "id")
     return wanted.join(held, ["u", "v", "type", "paper_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("source", "type", "target", "rank", "id", "paper_id", "confidence", "text")

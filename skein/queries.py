@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import oracle as O
@@ -109,7 +109,7 @@ def _relations(found: DataFrame) -> DataFrame:
 @query(O.ROWS + _REL)
 def relation_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges with evidence aggregated over papers."""
-    return _relations(G.relations(G.relation_papers(rows(spark, sf))))
+    return _relations(G.relations(G.relation_papers(rows(spark, sf)), listed=True))
 
 
 @query(O.ROWS + _REL)
@@ -119,7 +119,7 @@ def relation_edges_merged(spark: SparkSession, sf: str) -> DataFrame:
     middle = every.agg(F.expr("percentile_approx(seq, 0.5)").alias("m"))
     old = every.crossJoin(F.broadcast(middle)).where("seq <= m").drop("m")
     new = every.crossJoin(F.broadcast(middle)).where("seq > m").drop("m")
-    return _relations(G.relations(G.merge_relation_papers(G.relation_papers(old), G.relation_papers(new))))
+    return _relations(G.relations(G.merge_relation_papers(G.relation_papers(old), G.relation_papers(new)), listed=True))
 
 
 @query(O.ROWS + """, met AS (SELECT subject AS name, subject_type AS type, subject_raw AS raw, seq * 2 AS pos FROM rows_ UNION ALL SELECT object, object_type, object_raw, seq * 2 + 1 FROM rows_),
@@ -226,14 +226,15 @@ def entity_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.ROWS + "SELECT source, type, target, support, array_to_string(papers, '|') AS papers FROM edge WHERE (source = 'fuvuguate' AND target = 'rgk17') OR (source = 'rgk17' AND target = 'fuvuguate')")
 def edge_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """All edges between two entities."""
-    return G.edges_between(edges(spark, sf), SEED, "rgk17").select("source", "type", "target", "support", F.array_join("papers", "|").alias("papers"))
+    found = G.relations(G.edges_between(G.relation_papers(rows(spark, sf)), SEED, "rgk17"), listed=True)
+    return found.select("source", "type", "target", "support", F.array_join("papers", "|").alias("papers"))
 
 
 @query(O.ROWS + ", p AS (SELECT DISTINCT paper_id FROM paper_records) SELECT e.source, e.type, e.target, x.paper_id, p.paper_id IS NOT NULL AS known FROM (SELECT source, type, target, unnest(papers) AS paper_id FROM edge) x JOIN edge e USING (source, type, target) LEFT JOIN p ON p.paper_id = x.paper_id")
 def edge_papers(spark: SparkSession, sf: str) -> DataFrame:
     """Every edge with its papers."""
     known = table(spark, sf, "paper_records").select("paper_id").distinct().withColumn("known", F.lit(True))
-    listed = edges(spark, sf).select("source", "type", "target", F.explode("papers").alias("paper_id"))
+    listed = G.relation_papers(rows(spark, sf)).select("source", "type", "target", "paper_id")
     return listed.join(known, "paper_id", "left").select("source", "type", "target", "paper_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
@@ -431,7 +432,7 @@ def provenance_store(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.ROWS + _PROV + ", x AS (SELECT source, type, target, u, v, unnest(papers) AS paper_id FROM edge), j AS (SELECT x.source, x.type, x.target, p.id, row_number() OVER (PARTITION BY x.source, x.type, x.target ORDER BY p.confidence DESC NULLS LAST, p.id) AS rank FROM x JOIN prov p ON least(p.subject, p.object) = x.u AND greatest(p.subject, p.object) = x.v AND p.relation = x.type AND p.paper_id = x.paper_id) SELECT source, type, target, id, rank::INTEGER AS rank FROM j WHERE rank <= 2")
 def edge_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The two best snippets of every edge from its own papers."""
-    return VX.evidence_of(edges(spark, sf), _evidence(spark, sf)).select("source", "type", "target", "id", "rank")
+    return VX.evidence_of(G.relation_papers(rows(spark, sf)), _evidence(spark, sf)).select("source", "type", "target", "id", "rank")
 
 
 @query(O.ROWS + _PROV + f"SELECT id, round(confidence, 6) AS confidence FROM prov WHERE ((subject = '{SEED}' AND object = 'rgk17') OR (subject = 'rgk17' AND object = '{SEED}')) ORDER BY confidence DESC NULLS LAST, id LIMIT 5")

@@ -78,7 +78,7 @@ def test_shortest_paths_against_enumeration(spark):
     rng = random.Random(5)
     names = [f"n{i}" for i in range(9)]
     data = [(a, f"T{rng.randint(0, 1)}", b, round(rng.uniform(0.3, 0.99), 3), rng.randint(1, 4)) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.5]
-    edges = G.graph_edges(spark.createDataFrame(data, "source string, type string, target string, confidence double, support int").withColumn("papers", F.array()).withColumn("first_year", F.lit(1)))
+    edges = G.graph_edges(spark.createDataFrame(data, "source string, type string, target string, confidence double, support int"))
     cost = {}
     for a, _, b, c, s in data:
         x = -math.log(1 - (1 - c) / (1 + math.log(s))) + 0.05
@@ -107,7 +107,7 @@ def test_adamic_adar(spark, snap):
 def test_once_per_paper_and_first_year(spark):
     data = [("a", "R", "b", 0.2, "p1", 2010, 1), ("a", "R", "b", 0.9, "p1", 2001, 2), ("a", "R", "b", 0.6, "p2", None, 3), ("a", "R", "b", 0.6, "p2", None, 3)]
     df = spark.createDataFrame([(*r, None, None, None, None, None) for r in data], ROWS)
-    r = G.relations(G.relation_papers(G.insert_rows(df))).first()
+    r = G.relations(G.relation_papers(G.insert_rows(df)), listed=True).first()
     assert (r["support"], r["papers"], r["first_year"], round(r["confidence"], 6)) == (2, ["p1", "p2"], 2001, 0.4)
 
 
@@ -130,7 +130,7 @@ def test_types_and_aliases(spark):
 
 
 def test_evidence_is_of_the_edge(spark, snap):
-    got = X.evidence_of(snap.edges, snap.evidence).where("source = 'curcumin'").collect()
+    got = X.evidence_of(snap.support, snap.evidence).where("source = 'curcumin'").collect()
     assert [(r["type"], r["paper_id"]) for r in got] == [("INHIBITS", "p5")]
     weak = spark.createDataFrame([(f"i{k}", "a", "b", "R", "p", c) for k, c in enumerate([0.1] * 8 + [0.99])], "id string, subject string, object string, relation string, paper_id string, confidence double")
     assert [r["confidence"] for r in X.edge_evidence(weak, 1, source="b", target="a").collect()] == [0.99]
