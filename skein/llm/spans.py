@@ -87,6 +87,20 @@ def edges(text: Hashed, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     return grams[at[first]], text.of(first, last + span), first, last
 
 
+def _frames(parts: Iterator[tuple[np.ndarray, ...]], names: tuple[str, ...], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Arrays put together to frames of about ``rows`` rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+    for p in parts:
+        held.append(p)
+        count += len(p[0])
+        if count >= rows:
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+            held, count = [], 0
+    if held:
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+
+
 def shared_runs(df: DataFrame, key: str, text: str, span: int = 320, k: int = 160) -> DataFrame:
     """``(key, from_char, to_char)``: maximal runs of characters in spans of ``span`` or more shared with another key.
 
@@ -99,14 +113,14 @@ def shared_runs(df: DataFrame, key: str, text: str, span: int = 320, k: int = 16
     docs = df.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).where(F.col("d").isNotNull() & (F.char_length("t") >= span))
 
     def graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
-                out = []
                 for d, t in zip(batch["d"], batch["t"]):
                     node, edge, a, b = edges(Hashed(t), span, k)
-                    out.append(pd.DataFrame({"d": np.full(len(a), d, np.int64), "node": node.view(np.int64), "edge": edge.view(np.int64), "a": a.astype(np.int32), "b": b.astype(np.int32)}))
-                if out:
-                    yield pd.concat(out)
+                    yield np.full(len(a), d, np.int64), node.view(np.int64), edge.view(np.int64), a.astype(np.int32), b.astype(np.int32)
+
+        with np.errstate(over="ignore"):
+            yield from _frames(found(), ("d", "node", "edge", "a", "b"))
 
     rows = docs.mapInPandas(graph, "d long, node long, edge long, a int, b int")
     rows = cut(rows)
@@ -125,14 +139,16 @@ def shared_runs(df: DataFrame, key: str, text: str, span: int = 320, k: int = 16
     again = docs.withColumn("bucket", F.pmod(F.xxhash64("d"), F.lit(BUCKETS)).cast("int")).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
                 for d, t, parts in zip(batch["d"], batch["t"], batch["parts"]):
-                    text, out = Hashed(t), []
+                    text = Hashed(t)
                     for p in parts:
                         h = text.windows(span, p["a"], p["b"] + 1)
-                        out.append(pd.DataFrame({"d": np.full(len(h), d, np.int64), "w": h.view(np.int64), "x": np.arange(p["a"], p["b"] + 1, dtype=np.int32), "many": np.full(len(h), p["many"])}))
-                    yield pd.concat(out)
+                        yield np.full(len(h), d, np.int64), h.view(np.int64), np.arange(p["a"], p["b"] + 1, dtype=np.int32), np.full(len(h), p["many"])
+
+        with np.errstate(over="ignore"):
+            yield from _frames(found(), ("d", "w", "x", "many"))
 
     windows = cut(again.join(compare, "d").select("d", "t", "parts").mapInPandas(compared, "d long, w long, x int, many boolean"))
     # A window of a shared edge stands in two documents, so at least one of them is another one.
