@@ -140,7 +140,7 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("plain", bib.plain_text(F.col("raw")))
     rows = rows.withColumn("closing", bib.closing(F.col("plain"))).withColumn("end", F.right("raw", F.lit(1000)))
     rows = rows.withColumn("body", F.trim(F.expr("left(plain, char_length(plain) - char_length(closing))"))).withColumn("end", F.regexp_replace("end", bib.CLOSING, ""))
-    sentences = F.transform(F.split("body", SENTENCES), lambda s: F.struct(_lead(s, 1).alias("lead1"), _lead(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed"), F.least(F.size(F.split(s, r"\s+", 4)), F.lit(3)).alias("words"), s.rlike(CLOSING_FORM).alias("form")))
+    sentences = F.transform(F.split("body", SENTENCES), lambda s: F.struct(_lead(s, 1).alias("lead1"), _lead(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed"), F.least(F.size(F.split(s, r"\s+", 4)), F.lit(3)).alias("words"), (~F.right(s, F.lit(8)).rlike(TERMINATED) & s.rlike(CLOSING_FORM)).alias("form")))
     rows = cut(
         rows.select(
             "k", "body", (F.col("plain") != "").alias("filled"), (F.col("body") != "").alias("written"), sentences.alias("sentences"), F.col("closing").rlike(bib.MARK_OF_A_CUT).alias("marked"),
