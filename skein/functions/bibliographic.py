@@ -14,7 +14,7 @@ STOCK_TITLES = ("untitled", "letter to the editor", "editorial", "corrigendum",
 #: A publisher's notice or a mark of a cut, which may close an abstract; several may follow each other.
 NOTICE = r"(?:\([cC]\)|©|[Cc]opyright\b|This (?:article|work|paper) is|[Ff]urther reproduction|[Pp]ublished (?:under|by|in|with)|[Aa]ll rights reserved|[Rr]eproduced with)[^.!?]{0,200}[.!?]?"
 MARK_OF_A_CUT = r"(?:\.{3,}|…|[\[(](?i:(?:abstract )?truncated|more|cut|continued|abridged|\.\.\.|…)[\])])"
-CLOSING = rf"(?:(?:^|\s+){NOTICE}|\s*{MARK_OF_A_CUT})+\s*$"
+CLOSING = rf"(?:(?:^|\s){NOTICE}|\s?{MARK_OF_A_CUT})\s*$"
 
 
 def doi(value: Column) -> Column:
@@ -71,14 +71,29 @@ def plain_text(abstract: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(strip_tags(abstract), r"[\s\p{Z}&&[^ ]]", " "), " {2,}", " "))
 
 
-def closing(plain: Column) -> Column:
-    """The notices and marks of a cut that close a plain text, which may be empty; looked for in its last 1,000 characters."""
-    return F.regexp_extract(F.right(plain, F.lit(1000)), CLOSING, 0)
+def opened(plain: Column, most: int = 6) -> Column:
+    """(body, marked): a plain text without up to ``most`` notices and marks that close it, and whether a mark was there.
+
+    A notice is a sentence of at most 200 characters, so the text's last 260 are looked at for each; a text that has
+    lost nothing is not looked at again.
+    """
+
+    def without(t: Column, marked: Column, left: int) -> Column:
+        def rest(m: Column) -> Column:
+            shorter = F.rtrim(F.left(t, F.char_length(t) - F.char_length(m)))
+            seen = marked | m.rlike(MARK_OF_A_CUT)
+            done = F.struct(shorter.alias("body"), seen.alias("marked"))
+            more = done if left == 1 else let(done, lambda d: without(d["body"], d["marked"], left - 1))
+            return F.when(m == "", F.struct(t.alias("body"), marked.alias("marked"))).otherwise(more)
+
+        return let(F.regexp_extract(F.right(t, F.lit(260)), CLOSING, 0), rest)
+
+    return let(plain, lambda t: without(t, F.lit(False), most))
 
 
 def body(plain: Column) -> Column:
     """A plain text without the notices and marks of a cut that close it."""
-    return let(plain, lambda t: F.trim(F.left(t, F.char_length(t) - F.char_length(closing(t)))))
+    return opened(plain).getField("body")
 
 
 def own_text(abstract: Column) -> Column:
