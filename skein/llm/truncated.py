@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import bibliographic as bib
@@ -24,8 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 5
 _WORD = re.compile(r"[^\W_]+")
 #: Unfinished mark-up or entity at the end of a text.
-BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|&#?[A-Za-z0-9]*)\s*$"
-SENTENCES = r"(?<=[.!?])\s+(?=[\p{Lu}(\[])"
+BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|(?:^|[\s\d])&#?[A-Za-z0-9]*)$"
+SENTENCES = r"(?<=[.!?]) (?=[\p{Lu}(\[])"
 #: What closing matter looks like where the corpus has too little of it: in brackets, a label and a colon, or a code.
 CLOSING_FORM = r"^\(.*\)$|^[^.:]{2,40}:\s\S|\s\S*\d{3}\S*$"
 TERMINATED = r"[.!?][\"'”’)\]]*$"
@@ -125,10 +125,6 @@ def _near_copies(texts: DataFrame) -> DataFrame:
     return judged.groupBy("k").agg(F.min("verdict").alias("verdict"))  # cut before whole
 
 
-def _lead(sentence: Column, words: int) -> Column:
-    return F.regexp_extract(sentence, r"^\s*(\S+(?:\s+\S+){" + f"0,{words - 1}" + "})", 1)
-
-
 def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, cut, reason)`` for every record with a non-blank text.
 
@@ -138,14 +134,19 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("raw")).where("k is not null").where(F.col("raw").rlike(r"\S"))
     rows = rows.withColumn("plain", bib.plain_text(F.col("raw")))
-    rows = rows.withColumn("closing", bib.closing(F.col("plain"))).withColumn("end", F.right("raw", F.lit(1000)))
-    rows = rows.withColumn("body", F.trim(F.expr("left(plain, char_length(plain) - char_length(closing))"))).withColumn("end", F.regexp_replace("end", bib.CLOSING, ""))
-    sentences = F.transform(F.split("body", SENTENCES), lambda s: F.struct(_lead(s, 1).alias("lead1"), _lead(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed"), F.least(F.size(F.split(s, r"\s+", 4)), F.lit(3)).alias("words"), (~F.right(s, F.lit(8)).rlike(TERMINATED) & s.rlike(CLOSING_FORM)).alias("form")))
+    rows = rows.withColumn("opened", bib.opened(F.col("plain")))
+    rows = rows.select("k", (F.col("plain") != "").alias("filled"), F.col("opened.body").alias("body"), F.col("opened.marked").alias("marked"))
+    open_end = lambda s: ~F.right(s, F.lit(8)).rlike(TERMINATED)
+    first = lambda s, n: F.substring_index(s, " ", n)
+    sentences = F.transform(
+        F.split("body", SENTENCES),
+        lambda s: F.struct(
+            first(s, 1).alias("lead1"), first(s, 2).alias("lead2"), (~open_end(s)).alias("closed"), (open_end(s) & s.rlike(CLOSING_FORM)).alias("form"),
+            F.when(first(s, 1) == s, 1).when(first(s, 2) == s, 2).otherwise(3).alias("words"),
+        ),
+    )
     rows = cut(
-        rows.select(
-            "k", "body", (F.col("plain") != "").alias("filled"), (F.col("body") != "").alias("written"), sentences.alias("sentences"), F.col("closing").rlike(bib.MARK_OF_A_CUT).alias("marked"),
-            (F.col("end").rlike(BROKEN) & ~F.col("end").rlike(r"</?[A-Za-z][^<>]*>\s*$")).alias("markup"),
-        )
+        rows.select("k", "body", "filled", (F.col("body") != "").alias("written"), sentences.alias("sentences"), "marked", F.right("body", F.lit(60)).rlike(BROKEN).alias("markup"))
     ).where("filled")
     copies = _near_copies(rows.where("written").select("k", "body"))
 
