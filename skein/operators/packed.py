@@ -9,17 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.bibliographic import let
+
 # Placeholders are MARK index STOP. A MARK that the text already holds is written MARK ESCAPE first, so no text can
 # read as a placeholder.
-MARK, ESCAPE, STOP = "", "", ""
-QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+MARK, ESCAPE, STOP = "\ue000", "\ue001", "\ue002"
+# A doubled quote inside a span ends one piece and begins the next, so a span is a run of these pieces.
+QUOTED = r'"[^"]*+"'
 # Delimiters that no name holds; a comma is weighed separately because it also parts a family name from a given name.
 # "and" and "&" also stand inside a group's name: there at most one word and the kind of group follow.
 GROUP = r"(?:consortium|consort|network|netw|group|grp|collaboration|collab|collective|alliance|team|study|trial|committee)"
-STRONG = rf"[;；|\t\r\n]+|\s+/\s+|,?\s+(?:&|and|AND)\s+(?!(?:[^\s,;；|]+\s+)?(?i:{GROUP})\.?\s*(?:[,;；|\t\r\n]|$))"
+# Runs of white space are entered at their beginning only, so that long ones cost no more than their length.
+STRONG = rf"[;；|\t\r\n]+|(?<!\s)\s++/\s++|(?:,|(?<![\s,]))\s++(?:&|and|AND)\s++(?!(?:[^\s,;；|]++\s++)?(?i:{GROUP})\.?\s*+(?:[,;；|\t\r\n]|$))"
 #: Abbreviations that end a group's name with their own full stop.
 ABBREVIATED = r"(?i)\b(?:consort|netw|grp|collab)\.$"
-ET_AL = r"(?i)[,\s]*\bet\.?\s+al\b\.?\s*$"
+ET_AL = r"(?i)(?<![,\s])[,\s]*+\bet\.?\s++al\b\.?\s*+$"
+EDGES = r"^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$"
+#: A longer part is no given or family name, and the patterns below need not be tried on it.
+LONGEST = 300
 
 _WORD = r"[\p{L}\p{M}0-9][\p{L}\p{M}0-9'’\-]+"
 _PARTICLE = r"(?:(?i:van|von|de|del|della|der|den|di|da|dos|du|la|le|ter|ten|zu)\s+)*"
@@ -39,12 +46,9 @@ def _join_commas(parts: Column) -> Column:
 
     def step(acc: Column, part: Column) -> Column:
         held = acc["open"]
-        can_open = part.rlike(BARE) | part.rlike(TWO_WORDS)
-        initials = part.rlike(WITH_INITIALS)
-        opens = can_open & ~initials
-        joins = held.isNotNull() & (
-            (held.rlike(BARE) & F.trim(part).rlike(r"\S")) | part.rlike(GIVEN)
-        )
+        short = F.char_length(part) <= LONGEST
+        opens = short & (part.rlike(BARE) | part.rlike(TWO_WORDS)) & ~part.rlike(WITH_INITIALS)
+        joins = held.isNotNull() & (held.rlike(BARE) | (short & part.rlike(GIVEN)))
         closed = F.when(held.isNotNull(), F.array_append(acc["names"], held)).otherwise(acc["names"])
         return (
             F.when(joins, F.struct(F.array_append(acc["names"], F.concat(held, F.lit(","), part)).alias("names"), F.lit(None).cast("string").alias("open")))
@@ -60,44 +64,40 @@ def _join_commas(parts: Column) -> Column:
 
 def _restore(item: Column, spans: Column) -> Column:
     """Put quoted spans back into an item; enclosing quotes go, doubled quotes inside them become single."""
-    whole = rf"^{MARK}(\d+){STOP}$"
-    span = lambda i: F.element_at(spans, i.cast("int"))
-    inner = F.regexp_extract(item, whole, 1)
-    alone = F.element_at(F.transform(F.array(span(inner)), lambda x: F.trim(F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')))), 1)
-    pieces = F.split(item, rf"(?={MARK}\d)|(?<={STOP})")
-    put = F.array_join(
-        F.transform(pieces, lambda p: F.when(p.rlike(whole), span(F.regexp_extract(p, whole, 1))).otherwise(p)), ""
-    )
-    return F.when(item.rlike(whole), alone).when(item.contains(MARK), put).otherwise(item)
+    one = rf"{MARK}(\d+){STOP}"
+    number = lambda p: F.regexp_extract(p, rf"^{one}$", 1)
+    back = lambda p: let(number(p), lambda n: F.when(n != "", F.element_at(spans, n.cast("int"))).otherwise(p))
+    put = F.array_join(F.transform(F.split(item, rf"(?={MARK}\d)|(?<={STOP})"), back), "")
+    bare = lambda x: F.regexp_replace(F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')), EDGES, "")
+    return F.when(~item.contains(MARK), item).when(F.regexp_replace(item, one, "") == "", let(put, bare)).otherwise(put)
+
+
+def _names(masked: Column) -> Column:
+    """Values of a text whose quoted spans are placeholders."""
+    segments = F.filter(F.transform(F.split(masked, STRONG, -1), lambda s: F.regexp_replace(s, ET_AL, "")), lambda s: F.trim(s) != "")
+    parted = lambda s: _join_commas(F.filter(F.split(s, ","), lambda p: F.trim(p) != ""))
+    names = F.flatten(F.transform(segments, lambda s: F.when(s.contains(","), parted(s)).otherwise(F.array(s))))
+    return F.transform(names, lambda n: F.regexp_replace(F.regexp_replace(F.regexp_replace(n, EDGES, ""), r"^(?:and|AND|&)\s++", ""), EDGES, ""))
+
+
+def _unclosed(name: Column) -> Column:
+    """The last name of a list without the full stop that closes the list, which that of a dotted initial does not."""
+    dotted = r"(?:^|[\s.\-])\p{Lu}\p{M}*\.[\s\-]?\p{Lu}\p{M}*\.$"
+    closes = name.endswith(".") & ~name.contains(",") & ~name.rlike(ABBREVIATED) & ~name.rlike(dotted)
+    return F.when(closes, F.regexp_replace(name, r"(?<!\s)\s*+\.$", "")).otherwise(name)
 
 
 def unpack(packed: Column) -> Column:
     """Array of the values in ``packed``, in order; null for null, empty for a text without any value."""
-    escaped = F.replace(packed, F.lit(MARK), F.lit(MARK + ESCAPE))
-    spans = F.regexp_extract_all(escaped, F.lit(QUOTED), F.lit(0))
-    masked = F.array_join(
-        F.transform(F.split(escaped, QUOTED, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(MARK), i.cast("string"), F.lit(STOP), p))), ""
-    )
-    segments = F.filter(F.transform(F.split(masked, STRONG, -1), lambda s: F.regexp_replace(s, ET_AL, "")), lambda s: F.trim(s) != "")
-    names = F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.when(s.contains(","), _join_commas(F.filter(F.split(s, ","), lambda p: F.trim(p) != ""))).otherwise(F.array(s)),
-        )
-    )
-    space = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-    tidy = F.transform(names, lambda n: F.regexp_replace(F.regexp_replace(F.regexp_replace(n, space, ""), r"^(?:and|AND|&)\s+", ""), space, ""))
-    # The full stop that closes the list is not part of its last name, unless it is that of a dotted initial.
-    last = F.size(tidy) - 1
-    closed = F.transform(
-        tidy,
-        lambda n, i: F.when(
-            (i == last) & n.endswith(".") & ~n.contains(",") & ~n.rlike(ABBREVIATED) & ~n.rlike(r"(?:^|[\s.\-])\p{Lu}\p{M}*\.[\s\-]?\p{Lu}\p{M}*\.$"),
-            F.regexp_replace(n, r"\s*\.$", ""),
-        ).otherwise(n),
-    )
-    whole = F.transform(closed, lambda n: F.replace(_restore(n, spans), F.lit(MARK + ESCAPE), F.lit(MARK)))
-    return F.filter(whole, lambda n: (n != "") & ~n.rlike(r"(?i)^et\.?\s+al\.?$"))
+
+    def values(escaped: Column) -> Column:
+        masked = F.array_join(F.transform(F.split(escaped, QUOTED, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(MARK), i.cast("string"), F.lit(STOP), p))), "")
+        spans = F.regexp_extract_all(escaped, F.lit(QUOTED), F.lit(0))
+        return let(spans, lambda held: let(_names(masked), lambda names: let(F.size(names), lambda n: F.transform(names, lambda x, i: let(F.when(i == n - 1, _unclosed(x)).otherwise(x), lambda y: _restore(y, held))))))
+
+    found = let(F.replace(packed, F.lit(MARK), F.lit(MARK + ESCAPE)), values)
+    whole = F.transform(found, lambda n: F.replace(n, F.lit(MARK + ESCAPE), F.lit(MARK)))
+    return F.filter(whole, lambda n: (n != "") & ~n.rlike(r"(?i)^et\.?\s++al\.?$"))
 
 
 def unpack_rows(df: DataFrame, column: str, value: str = "value", position: str = "pos") -> DataFrame:

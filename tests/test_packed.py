@@ -58,3 +58,13 @@ def test_round_trip_of_quoted_values(spark, sep):
     packed = sep.join('"' + v.replace('"', '""') + '"' for v in values)
     out = unpack_rows(spark.createDataFrame([(packed,)], "packed string"), "packed")
     assert [v for _, v in tuples(out, "pos", "value")] == values
+
+
+def test_pathological_texts_end_soon(spark):
+    n = 50_000
+    odd = [" " * n, '"' * n, "x" * n, "x " * n, "," * n, "A, " * (n // 4), '"' + '""' * n + '"', ", " * n + "and", "a" + "\n" * n, " " * n + "x"]
+    df = spark.createDataFrame(list(enumerate(odd)), "k int, packed string")
+    got = {}
+    for k, value in tuples(unpack_rows(df, "packed").select("k", "value")):
+        got.setdefault(k, []).append(value)
+    assert 0 not in got and got[2] == ["x" * n] and got[9] == ["x"] and got[6] == ['"' * n]
