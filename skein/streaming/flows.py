@@ -72,12 +72,25 @@ def admissions(events: DataFrame, key: str, ts: str, window: float = 60.0, limit
     runs = events.withColumn("_part", F.sum(F.coalesce((gap > window).cast("int"), F.lit(1))).over(by)).withColumn("_at", at)
     names = [f.name for f in events.schema]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", *([order] if order else [])], kind="stable")
-        good, _ = admit(pdf["_at"].tolist(), [], window, limit)
-        return pdf[names].assign(admitted=good)
-
-    return runs.groupBy(key, "_part").applyInPandas(fold, StructType(events.schema.fields).add("admitted", "boolean"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[float] = []
+        current = None
+        for pdf in batches:
+            good = []
+            for k, part, t in zip(pdf["_key"], pdf["_part"], pdf["_at"]):
+                if (k, part) != current:
+                    current, held = (k, part), []
+                if t != t:  # no time
+                    good.append(False)
+                    continue
+                admitted, held = admit([t], held, window, limit)
+                good += admitted
+            yield pdf[names].assign(admitted=good)
+
+    # Each task folds many runs one after another, in order; a run is never in two tasks.
+    keyed = runs.withColumn("_key", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")))
+    ordered = keyed.repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_at", *([order] if order else []))
+    return ordered.mapInPandas(fold, StructType(events.schema.fields).add("admitted", "boolean"))
 
 
 def admission_stream(events: DataFrame, key: str, ts: str, window: float = 60.0, limit: int = 30) -> DataFrame:

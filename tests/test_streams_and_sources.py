@@ -120,3 +120,11 @@ def test_chat_history(spark):
     turns = spark.createDataFrame([("c", i, "system" if i == 9 else "user", "x" * 2000) for i in range(10)], "conv_id string, turn int, role string, content string")
     got = chat_history(turns)
     assert [r["turn"] for r in got.orderBy("turn").collect()] == [3, 4, 5, 6, 7, 8] and got.select(F.max(F.length("content"))).first()[0] == 1500
+
+
+def test_admission_of_null_keys_and_times(spark):
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(None, t0, 1), (None, t0 + timedelta(seconds=1), 2), ("u", None, 3), ("u", t0, 4), ("u", t0, 5)], "k string, ts timestamp, i int")
+    got = {r["i"]: r["admitted"] for r in flows.admissions(df, "k", "ts", 60.0, 1, order="i").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert flows.admissions(df.limit(0), "k", "ts").count() == 0
