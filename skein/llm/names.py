@@ -1,16 +1,18 @@
-"""Variant spellings of names typed by people: suffix blocking and longest-common-subsequence ratio.
+"""Variant spellings of names typed by people: subsequence blocking and longest-common-subsequence ratio.
 
 Values are taken apart into family name, given name and initials; the given names are learned from the values whose
-form leaves no doubt. Values of equal parts are one node. Nodes are blocked by the suffixes of their family name, and
-of its reverse, of a minimum length, refined with the first initial; a block that is still too common gets longer
-suffixes instead of being dropped. Pairs of a block whose family names have a high enough common subsequence and
-whose given names agree are linked, and linked nodes form the name's variants.
+form leaves no doubt. Values of equal parts are one node. Distinct family names are blocked by runs of their rarest
+letters (``subsequence_keys``), which any two of a high enough ratio share, and compared; nodes of one or of two near
+family names meet where their first initials may be the same. Pairs whose given names agree as well are linked, and
+linked nodes form the name's variants.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +22,10 @@ from skein.operators.components import components
 from skein.session import cut
 
 RATIO, GROUP_RATIO = 0.8, 0.9
-SUFFIX, MOST = 4, 200
+#: Letters of a block key, keys of a name for one length of its partner, and families that a block compares at once.
+LETTERS, KEYS, MOST = 6, 500, 200
+#: Letters from rare to common; any order gives the same pairs.
+RARITY = {c: i for i, c in enumerate("qxjzvwkbpgyfmhdclsnrtuoiae")}
 #: Particles of family names, titles, and words by which a group is known.
 PARTICLES = frozenset("van von de del della der den di da dos du la le ter ten zu".split())
 TITLES = frozenset("md phd dr prof msc bsc rn jr sr dphil frcp".split())
@@ -182,29 +187,70 @@ def _nodes(names: DataFrame, column: str) -> DataFrame:
     return every.join(nick, "given", "left").withColumn("formal", F.coalesce("formal", F.lit("")))
 
 
-def _blocked(nodes: DataFrame, most: int) -> DataFrame:
-    """(node, block): suffixes of the family name and of its reverse, longer ones where a block is too common."""
+def subsequence_keys(text: str, ratio: float) -> set[tuple[int, int, str]]:
+    """Keys of which two texts share at least one if their ``lcs_ratio`` is ``ratio`` or more.
+
+    Texts of the lengths low and high need a common subsequence of ``least`` letters. Its rarest ``k`` letters, in their
+    order, are preceded in rarity by fewer than ``k`` others of it and by at most ``len(text) - least`` letters outside
+    it. They are therefore among the ``len(text) - least + k`` rarest of either text, and all orders of choice there are
+    keys. Lengths are part of the key, because they settle ``least``.
+    """
+    m = len(text)
+    ranked = sorted(range(m), key=lambda i: (RARITY.get(text[i], -1), text[i], i))
+    chosen: dict[tuple[int, int], set[str]] = {}
+    out = set()
+    for n in range(math.ceil(m * ratio / (2 - ratio) - 1e-9), math.floor(m * (2 - ratio) / ratio + 1e-9) + 1):
+        low, high, least = min(m, n), max(m, n), math.ceil(ratio / 2 * (m + n) - 1e-9)
+        if not 0 < least <= low:
+            continue
+        k = min(LETTERS, least)
+        while k > 1 and math.comb(high - least + k, k) > KEYS:
+            k -= 1
+        if (least, k) not in chosen:
+            letters = [text[i] for i in sorted(ranked[: m - least + k])]
+            chosen[least, k] = set(letters) if k == 1 else {"".join(c) for c in combinations(letters, k)}
+        out |= {(low, high, c) for c in chosen[least, k]}
+    return out
+
+
+def _hashes(family: str, grouped: bool) -> list[int]:
+    import xxhash
+
+    keys = subsequence_keys(family, GROUP_RATIO if grouped else RATIO)
+    return [xxhash.xxh64_intdigest(f"{grouped:d},{low},{high},{c}") - (1 << 63) for low, high, c in keys]
+
+
+def _near_families(nodes: DataFrame, most: int) -> DataFrame:
+    """(family, other): every two family names of a high enough ratio in one order, and every family name with itself.
+
+    A block of more than ``most`` names is compared whole, in a grid of parts of about that many.
+    """
+    families = nodes.where("family <> ''").select("family", (F.col("initials") == "#").alias("grouped")).distinct()
+    hashes = F.pandas_udf(lambda f, g: pd.Series([_hashes(*v) for v in zip(f, g)]), "array<bigint>")
+    keyed = cut(families.select("family", "grouped", F.explode(hashes("family", "grouped")).alias("block")))
+    parts = cut(keyed.groupBy("block").count().where("count > 1").select("block", F.ceil(F.col("count") / most).cast("int").alias("parts")))
+    keyed = keyed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("family"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = keyed.select("block", "grouped", "family", "part", every.alias("other_part"))
+    right = keyed.select("block", F.col("family").alias("other"), F.col("part").alias("other_part"), every.alias("part"))
+    least = F.when(F.col("grouped"), GROUP_RATIO).otherwise(RATIO)
+    # One substitution costs two letters outside the common subsequence, so the edit distance is never more than these.
+    outside = F.floor((1 - least) * (F.length("family") + F.length("other")) + 1e-9).cast("int")
+    pairs = left.join(right, ["block", "part", "other_part"]).where("family < other").where(F.levenshtein("family", "other") <= outside)
+    pairs = pairs.select("family", "other", least.alias("least")).distinct()
+    ratio = F.pandas_udf(lambda a, b: pd.Series([lcs_ratio(*v) for v in zip(a, b)], dtype=float), "double")
+    near = pairs.where(ratio("family", "other") >= F.col("least")).select("family", "other")
+    return near.unionByName(families.select("family", F.col("family").alias("other"))).distinct()
+
+
+def _candidates(nodes: DataFrame, most: int) -> DataFrame:
+    """(a, b): nodes of near family names whose first initials may be the same."""
     firsts = F.array_distinct(F.concat(F.array(F.substring("initials", 1, 1)), F.transform(F.filter(F.split("formal", " "), lambda f: f != ""), lambda f: F.upper(F.substring(f, 1, 1)))))
-    sides = nodes.where("family <> ''").select("node", "family", "initials", F.explode(firsts).alias("first")).select(
-        "node", "first", "initials", F.explode(F.array(F.struct(F.lit("s").alias("side"), F.reverse("family").alias("f")), F.struct(F.lit("p").alias("side"), F.col("family").alias("f")))).alias("x")
-    )
-    size = F.when(F.length("x.f") >= 2 * SUFFIX + 1, SUFFIX).otherwise(SUFFIX - 1)
-    open_, done = sides.select("node", "first", "x.side", "x.f", size.alias("size")), None
-    for step in range(4):
-        keyed = open_.withColumn("block", F.xxhash64("side", "first", F.expr("substring(f, 1, size)"), "size"))
-        if step == 3:
-            kept = keyed.select("node", "block")
-        else:
-            common = cut(keyed.groupBy("block").agg(F.approx_count_distinct("f").alias("n")).where(F.col("n") > most).select("block"))
-            if common.limit(1).count() == 0:
-                kept, step = keyed.select("node", "block"), 3
-            else:
-                kept = keyed.join(common, "block", "left_anti").select("node", "block")
-                open_ = keyed.join(common, "block", "left_semi").drop("block").withColumn("size", F.col("size") + 2)
-        done = kept if done is None else done.unionByName(kept)
-        if step == 3:
-            return done.distinct()
-    return done.distinct()
+    starts = cut(nodes.where("family <> ''").select("node", "family", F.explode(firsts).alias("first")))
+    near = cut(_near_families(nodes, most))
+    left = starts.join(near, "family").select(F.col("node").alias("a"), "family", "other", "first")
+    right = starts.select(F.col("node").alias("b"), F.col("family").alias("other"), "first")
+    return left.join(right, ["other", "first"]).where("family <> other or a < b").select("a", "b").distinct()
 
 
 def variants(df: DataFrame, column: str, most: int = MOST) -> DataFrame:
@@ -222,12 +268,9 @@ def variants(df: DataFrame, column: str, most: int = MOST) -> DataFrame:
     clash = nodes.where("length(initials) > 1").groupBy("family", first.alias("first")).agg(F.count_distinct(F.substring("initials", 2, 1)).alias("seconds")).where("seconds > 1")
     vague = nodes.where("length(initials) = 1 and given = ''").withColumn("first", first).join(clash, ["family", "first"], "left_semi").select("node")
     nodes = cut(nodes.join(vague, "node", "left_anti"))
-    blocks = cut(_blocked(nodes, most))
-    left = blocks.select("block", F.col("node").alias("a"))
-    right = blocks.select("block", F.col("node").alias("b"))
-    pairs = left.join(right, "block").where("a < b").select("a", "b").distinct()
+    pairs = _candidates(nodes, most)
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("family", "given", "initials", "formal")])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("levenshtein(family_a, family_b) <= 1 + greatest(length(family_a), length(family_b)) div 2")
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     ok = F.pandas_udf(lambda *c: pd.Series([agree(*v) for v in zip(*c)], dtype=bool), "boolean")
     linked = near.where(ok(*[F.col(f"{c}_{s}") for s in "ab" for c in ("family", "given", "initials", "formal")])).select("a", "b")
     links = linked.select(F.col("a").alias("node"), F.xxhash64("a", "b").alias("key")).unionByName(linked.select(F.col("b").alias("node"), F.xxhash64("a", "b").alias("key")))

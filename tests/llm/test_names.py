@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from skein.llm.names import lcs_ratio, parse, variant_pairs, variants
+from skein.llm.names import lcs_ratio, parse, subsequence_keys, variant_pairs, variants
 from tests.conftest import tuples
 
 PERSON = ["Hufuhenaze LM", "Lena-Maria Hufuhenaze", "lena-maria hufuhenaze", "Hufuhenaze, Lena-Maria", "HUFUHENAZE LM", "L. M. Hufuhenaze", "Hufuhenaez LM", "Hufuhenaze, L. M.", "Lena Maria Hufuhenaze", "Hufuhenaze Lena-Maria", "Lena-Maria Hufuhen4ze MD"]
@@ -63,3 +63,37 @@ def test_common_suffixes_get_longer(spark):
 
 def test_ratio():
     assert lcs_ratio("abcd", "abdc") == 0.75 and lcs_ratio("", "a") == 0.0 and lcs_ratio("abc", "abc") == 1.0
+
+
+def test_keys_against_brute_force():
+    rng = random.Random(11)
+    for ratio in (0.8, 0.9):
+        near = 0
+        for _ in range(20000):
+            letters = rng.choice(["ab", "abcde", "abcdefghijklmnopqrstuvwxyz"])
+            a = "".join(rng.choice(letters) for _ in range(rng.randint(3, 10)))
+            b = a
+            for _ in range(rng.randint(1, 4)):
+                i = rng.randrange(len(b) + 1)
+                b = b[:i] + rng.choice(["", rng.choice(letters)]) + b[i + rng.randint(0, 1) :]
+            if lcs_ratio(a, b) >= ratio:
+                near += 1
+                assert subsequence_keys(a, ratio) & subsequence_keys(b, ratio), (a, b)
+        assert near > 2000
+    a, b = "abcdefghijklmnopqrstuvwxyz" * 2, "bcdefgijklmopqrstuvwxyza" * 2
+    assert lcs_ratio(a, b) >= 0.9 and subsequence_keys(a, 0.9) & subsequence_keys(b, 0.9)
+
+
+def test_slips_wherever_they_stand(spark):
+    pairs = [("Johanson A", "Johansson A"), ("Petersen B", "Peterssen B"), ("Smith C", "Smyth C"), ("Meier D", "Meyer D"), ("Kolobefto, Isabella H.", "Kotobefeto, Isabella")]
+    assert found(spark, [n for p in pairs for n in p]) == set(pairs)
+
+
+def test_every_pair_of_near_families(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 10))).capitalize() + " A" for _ in range(150)})
+    family = lambda n: n.split()[0].lower()
+    near = [(a, b) for a, b in itertools.combinations(names, 2) if lcs_ratio(family(a), family(b)) >= 0.8]
+    for most in (200, 2):
+        entity = {r["name"]: r["entity"] for r in variants(spark.createDataFrame([(n,) for n in names], "name string"), "name", most=most).collect()}
+        assert near and all(entity[a] == entity[b] for a, b in near)
