@@ -64,13 +64,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paper_groups(records: DataFrame) -> DataFrame:
     """(rec_id, component): records of one paper, by DOI, PMCID, PMID, or title and year; single records are left out.
 
-    A title is a stock title when it is a known one or stands over records of more than three different years.
+    A title is a stock title when it is a known one, when no year holds half of its records, or when those of its
+    records that share a year bear different PMIDs or PMCIDs, so that the most frequent ones hold no more than half of
+    them. (DOIs do not tell: a paper's versions have their own.) These shares stay the same when copies multiply.
     """
     year = F.when(F.col("year").between(1801, 2199), F.col("year"))
     keyed = records.select("rec_id", bib.doi(F.col("doi")).alias("doi"), bib.pmcid(F.col("pmcid")).alias("pmcid"), bib.pmid(F.col("pmid")).alias("pmid"), bib.title_key(F.col("title")).alias("title"), year.alias("year"))
-    titled = keyed.where("title is not null and year is not null").select("rec_id", "title", "year")
+    titled = keyed.where("title is not null and year is not null").select("rec_id", "title", "year", "pmcid", "pmid")
     known = [t.replace(" ", "") for t in bib.STOCK_TITLES]
-    stock = titled.groupBy("title").agg(F.size(F.collect_set("year")).alias("years")).where((F.col("years") > 3) | F.col("title").isin(known)).select("title")
+    share = lambda df, *by: df.groupBy(*by).agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    spread = share(titled.groupBy("title", "year").agg(F.count("*").alias("n")), "title").where((2 * F.col("top") < F.col("n")) | F.col("title").isin(known)).select("title")
+    borne = titled.select("title", "year", F.posexplode(F.array("pmcid", "pmid")).alias("kind", "value")).where("value is not null")
+    together = share(borne.groupBy("title", "year", "kind", "value").agg(F.count("*").alias("n")), "title", "year", "kind").where("n > 1")
+    parted = together.groupBy("title", "kind").agg(F.sum("top").alias("top"), F.sum("n").alias("n")).where(2 * F.col("top") <= F.col("n")).select("title")
+    stock = spread.unionByName(parted).distinct()
     by_title = titled.join(stock, "title", "left_anti").select(F.col("rec_id").alias("node"), F.concat(F.lit("t"), "title", F.lit("|"), F.col("year").cast("string")).alias("key"))
     by_id = keyed.select(F.col("rec_id").alias("node"), F.explode(F.array(F.concat(F.lit("d"), "doi"), "pmcid", F.concat(F.lit("m"), "pmid"))).alias("key"))
     return components(by_id.unionByName(by_title), "node", "key").withColumnRenamed("node", "rec_id")

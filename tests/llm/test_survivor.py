@@ -54,3 +54,12 @@ def test_paper_groups(spark):
 def test_stock_titles_by_years(spark):
     data = [(i, "Notes of the month", None, None, None, 2000 + i // 2) for i in range(10)]
     assert Q.paper_groups(spark.createDataFrame([(*r, None, None, None) for r in data], RECORDS)).count() == 0
+
+
+def test_stock_titles_by_shares(spark):
+    # One paper of many copies, some with a mistyped year; unrelated papers of one year; copies of which one has a slip.
+    data = [(i, "A paper", None, None, None, 2000 if i < 20 else 1981 + i) for i in range(25)]
+    data += [(30 + i, "Notes of the month", None, str(501 + i // 2) if i < 4 else None, f"PMC{i}" if 3 < i < 6 else None, 2000) for i in range(8)]
+    data += [(40 + i, "Another paper", None, "700" if i else "701", None, 2000) for i in range(4)]
+    got = tuples(Q.paper_groups(spark.createDataFrame([(*r, None, None, None) for r in data], RECORDS)))
+    assert got == [(i, 0) for i in range(20)] + [(30, 30), (31, 30), (32, 32), (33, 32)] + [(40 + i, 40) for i in range(4)]
