@@ -3,7 +3,7 @@
 Values are taken apart into family name, given name and initials; the given names are learned from the values whose
 form leaves no doubt. Values of equal parts are one node. Distinct family names are blocked by runs of their rarest
 letters (``subsequence_keys``), which any two of a high enough ratio share, and compared; nodes of one or of two near
-family names meet where their first initials may be the same. Pairs whose given names agree as well are linked, and
+family names meet where their first initials or given names may be the same. Pairs whose given names agree as well are linked, and
 linked nodes form the name's variants.
 """
 
@@ -220,14 +220,13 @@ def _hashes(family: str, grouped: bool) -> list[int]:
     return [xxhash.xxh64_intdigest(f"{grouped:d},{low},{high},{c}") - (1 << 63) for low, high, c in keys]
 
 
-def _near_families(nodes: DataFrame, most: int) -> DataFrame:
-    """(family, other): every two family names of a high enough ratio in one order, and every family name with itself.
+def _near(words: DataFrame, most: int) -> DataFrame:
+    """(family, other): every two different words of a high enough ratio in one order; words has (family, grouped).
 
-    A block of more than ``most`` names is compared whole, in a grid of parts of about that many.
+    A block of more than ``most`` words is compared whole, in a grid of parts of about that many.
     """
-    families = nodes.where("family <> ''").select("family", (F.col("initials") == "#").alias("grouped")).distinct()
     hashes = F.pandas_udf(lambda f, g: pd.Series([_hashes(*v) for v in zip(f, g)]), "array<bigint>")
-    keyed = cut(families.select("family", "grouped", F.explode(hashes("family", "grouped")).alias("block")))
+    keyed = cut(words.select("family", "grouped", F.explode(hashes("family", "grouped")).alias("block")))
     parts = cut(keyed.groupBy("block").count().where("count > 1").select("block", F.ceil(F.col("count") / most).cast("int").alias("parts")))
     keyed = keyed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("family"), "parts").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -239,15 +238,21 @@ def _near_families(nodes: DataFrame, most: int) -> DataFrame:
     pairs = left.join(right, ["block", "part", "other_part"]).where("family < other").where(F.levenshtein("family", "other") <= outside)
     pairs = pairs.select("family", "other", least.alias("least")).distinct()
     ratio = F.pandas_udf(lambda a, b: pd.Series([lcs_ratio(*v) for v in zip(a, b)], dtype=float), "double")
-    near = pairs.where(ratio("family", "other") >= F.col("least")).select("family", "other")
-    return near.unionByName(families.select("family", F.col("family").alias("other"))).distinct()
+    return pairs.where(ratio("family", "other") >= F.col("least")).select("family", "other").distinct()
 
 
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """(a, b): nodes of near family names whose first initials may be the same."""
-    firsts = F.array_distinct(F.concat(F.array(F.substring("initials", 1, 1)), F.transform(F.filter(F.split("formal", " "), lambda f: f != ""), lambda f: F.upper(F.substring(f, 1, 1)))))
-    starts = cut(nodes.where("family <> ''").select("node", "family", F.explode(firsts).alias("first")))
-    near = cut(_near_families(nodes, most))
+    """(a, b): nodes of near family names whose first initials or given names may be the same."""
+    named = nodes.where("family <> ''")
+    upper = lambda f: F.upper(F.substring(f, 1, 1))
+    firsts = F.concat(F.array(F.substring("initials", 1, 1)), F.transform(F.filter(F.concat(F.array("given"), F.split("formal", " ")), lambda f: f != ""), upper))
+    starts = named.select("node", "family", F.explode(F.array_distinct(firsts)).alias("first"))
+    # Near given names that begin differently (Catherine, Katherine) meet under a key of their own.
+    givens = named.where("given <> ''").select(F.col("given").alias("family"), F.lit(False).alias("grouped")).distinct()
+    apart = _near(givens, most).where("left(family, 1) <> left(other, 1)").select(F.explode(F.array("family", "other")).alias("given"), F.concat_ws("|", "family", "other").alias("first"))
+    starts = cut(starts.unionByName(named.join(apart, "given").select("node", "family", "first")))
+    families = named.select("family", (F.col("initials") == "#").alias("grouped")).distinct()
+    near = cut(_near(families, most).unionByName(families.select("family", F.col("family").alias("other"))).distinct())
     left = starts.join(near, "family").select(F.col("node").alias("a"), "family", "other", "first")
     right = starts.select(F.col("node").alias("b"), F.col("family").alias("other"), "first")
     return left.join(right, ["other", "first"]).where("family <> other or a < b").select("a", "b").distinct()

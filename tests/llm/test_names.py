@@ -97,3 +97,15 @@ def test_every_pair_of_near_families(spark):
     for most in (200, 2):
         entity = {r["name"]: r["entity"] for r in variants(spark.createDataFrame([(n,) for n in names], "name string"), "name", most=most).collect()}
         assert near and all(entity[a] == entity[b] for a, b in near)
+
+
+def test_given_names_of_other_initials_and_common_blocks(spark):
+    names = ["Catherine Xuvofabe", "Xuvofabe, Katherine", "Daniel Xuvofabe", "Xuvofabe, M. Brigitte", "Brigitte Xuvofabe", "Xuvofabe, Norman", "Xuvofabe, Daniel"]
+    want = {("Catherine Xuvofabe", "Xuvofabe, Katherine"), ("Daniel Xuvofabe", "Xuvofabe, Daniel"), ("Brigitte Xuvofabe", "Xuvofabe, M. Brigitte")}
+    common = [f"Ab{i:04d}cdefgh".translate(str.maketrans("0123456789", "klmnopqrst")) + " A" for i in range(60)]
+    slip = (common[7], common[7].replace("k", "x", 1).replace("fg", "gf"))  # near, but of neither one beginning nor one end
+    assert lcs_ratio(*(n.split()[0].lower() for n in slip)) >= 0.8
+    for most in (200, 10):
+        entity = {r["name"]: r["entity"] for r in variants(spark.createDataFrame([(n,) for n in [*names, *common, slip[1]]], "name string"), "name", most=most).collect()}
+        assert entity[slip[0]] == entity[slip[1]]
+        assert {tuple(sorted(p)) for p in itertools.combinations(names, 2) if entity[p[0]] == entity[p[1]]} == want
