@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.components import components
+from skein.llm.components import components
 from skein.session import cut
 
 RATIO, GROUP_RATIO = 0.8, 0.9

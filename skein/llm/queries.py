@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions import bibliographic as bib
+from skein.llm import abstracts as bib
 from skein.llm.leak import leaks
 from skein.llm.names import variant_pairs, variants
 from skein.llm.pack import fill_containers, token_count
@@ -15,7 +15,7 @@ from skein.llm.spans import shared_runs
 from skein.llm.split import split_texts
 from skein.llm.survivor import Bundle, survivors
 from skein.llm.truncated import truncated
-from skein.operators.components import components
+from skein.llm.components import components
 from skein.operators.packed import unpack_rows
 from skein.session import cut, table
 

@@ -1,38 +1,52 @@
 """Text cut off by field limits: near-copies whose alignment ends early, and closing-word terminality.
 
-Min-hash bands over five-word shingles bring near-copies together. Every record of a bucket is aligned with the
-bucket's longest text only, so a bucket of n copies costs n alignments. A verified copy that ends inside the longer
-text, but not at the end of a sentence there, was cut. Where no copy decides, the closing of the text is scored by the
-corpus: a last sentence without a full stop is closing matter (keywords, registrations) only if sentences that begin
-like it usually end so; a last word with a full stop ends a sentence only if it does so elsewhere.
+A cut text is contained in its whole copy, so min-hash bands are taken of whole texts and of their beginnings, each
+twice as long as the one before. A record asks for longer texts under the bands of its whole text and of its longest
+beginning, which holds at least half of it; every text answers under all of its bands. A bucket's members are aligned
+with its longest text; those for which that is no verified near-copy go on to the next longest different text, until
+one is verified or none is left. Verified means that 0.8 or more of the shorter text's five-word shingles stand in the
+longer one in the same order. A verified record whose alignment ends inside the longer text, other than at the end of a
+sentence, was cut.
+
+Where no copy decides, the closing word decides: how often it ends a sentence in the corpus if it has a full stop, how
+often it ends a text if it has none. A text without a full stop may close with complete matter (keywords, registrations),
+so there the closing word's estimate is the prior for how sentences that begin alike end. All counts cover the whole
+corpus and leave the judged record out; rarer evidence weighs less, without thresholds.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions import bibliographic as bib
+from skein.llm import abstracts as A
 from skein.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 5
+#: Bands and rows of a whole text and of each beginning; words of the shortest beginning.
+BANDS, ROWS = 8, 4
+PREFIX_BANDS, PREFIX_ROWS, PREFIX = 3, 5, 16
+#: Weight of the prior in the estimates, in observations.
+PRIOR = 4.0
 _WORD = re.compile(r"[^\W_]+")
 #: Unfinished mark-up or entity at the end of a text.
 BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|(?:^|[\s\d])&#?[A-Za-z0-9]*)$"
-SENTENCES = r"(?<=[.!?]) (?=[\p{Lu}(\[])"
-#: What closing matter looks like where the corpus has too little of it: in brackets, a label and a colon, or a code.
-CLOSING_FORM = r"^\(.*\)$|^[^.:]{2,40}:\s\S|\s\S*\d{3}\S*$"
+#: What closing matter looks like: in brackets, or a label and a colon.
+CLOSING_FORM = r"^\(.*\)$|^[^.:]{2,40}:\s\S"
 TERMINATED = r"[.!?][\"'”’)\]]*$"
+_TERMINATED = re.compile(TERMINATED)
+_DECIMAL = re.compile(r"[(\[]?(\d+\.)\d")
 
 
 def shingles(text: str, cache: dict[str, int]) -> np.ndarray:
-    """Distinct hashes of a text's runs of five words; of fewer words, one hash over all."""
+    """Hashes of a text's runs of five words, in order; of fewer words, one hash over all."""
     import xxhash
 
     ids = []
@@ -52,125 +66,291 @@ def shingles(text: str, cache: dict[str, int]) -> np.ndarray:
         for k in range(min(SHINGLE, len(x))):
             out = out * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n]
         out ^= out >> np.uint64(31)
-    return np.unique(out)
+    return out
+
+
+class Bands:
+    """Min-hash bands of a text's shingles: those of the whole, then those of each beginning."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(20240501)
+        n = max(BANDS * ROWS, PREFIX_BANDS * PREFIX_ROWS)
+        self.a = rng.integers(1, 2**63, (n, 1), dtype=np.uint64) | np.uint64(1)
+        self.b = rng.integers(0, 2**63, (n, 1), dtype=np.uint64)
+        self.mix = rng.integers(1, 2**63, max(ROWS, PREFIX_ROWS), dtype=np.uint64) | np.uint64(1)
+
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, whether the text asks under them)."""
+        with np.errstate(over="ignore"):
+            low = (s[None, :] * self.a + self.b) >> np.uint64(11)
+            whole = (low.min(axis=1)[: BANDS * ROWS].reshape(BANDS, ROWS) * self.mix[:ROWS]).sum(axis=1, dtype=np.uint64)
+            keys = [whole * np.uint64(0xD6E8FEB86659FD93) & ~np.uint64(255) | np.arange(BANDS, dtype=np.uint64)]
+            words, ends = PREFIX, []
+            while words <= len(s) + SHINGLE - 1:
+                ends.append(words - SHINGLE + 1)
+                words *= 2
+            if ends:
+                part = low[: PREFIX_BANDS * PREFIX_ROWS, : ends[-1]]
+                least = np.minimum.accumulate(np.minimum.reduceat(part, [0, *ends[:-1]], axis=1), axis=1)
+                for level in range(len(ends)):
+                    h = (least[:, level].reshape(PREFIX_BANDS, PREFIX_ROWS) * self.mix[:PREFIX_ROWS]).sum(axis=1, dtype=np.uint64)
+                    keys.append(h * np.uint64(0xD6E8FEB86659FD93) & ~np.uint64(255) | np.arange(PREFIX_BANDS, dtype=np.uint64) + np.uint64(32 + 4 * level))
+        asks = np.ones(sum(map(len, keys)), bool)
+        asks[BANDS : len(asks) - PREFIX_BANDS] = False
+        return np.concatenate(keys), asks
+
+
+def shape(token: str) -> str:
+    """A token's form: digits, capitals and runs of small letters each as one sign."""
+    return re.sub("[^\\W\\d_A-ZÀ-Þ]+", "a", re.sub("[A-ZÀ-Þ]", "A", re.sub(r"\d", "9", token)))
 
 
-def band_hashes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket, size): the min-hash bands of every text with at least one word."""
-    rng = np.random.default_rng(20240501)
-    a = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-    mix = rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
+def _scan(texts: DataFrame) -> DataFrame:
+    """One pass over the texts (k, body).
+
+    Rows by ``kind``: 0 a band (k, bucket, size, th: the text's hash, asks), 1 counts of a word or shape (bucket: its
+    hash, size: how often it ends a sentence or text, th: how often it does not), 2 and 3 a text's closing word and its
+    shape (k, bucket, asks: whether it has a full stop).
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
 
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
+        bands, h64 = Bands(), lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)
+        every: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+
+        def counted() -> pd.DataFrame:
+            tally: dict[str, list[int]] = {}
+            for w, n in every.items():
+                e = ends.get(w, 0)
+                for key in (f"w{w}", f"s{shape(w)}"):
+                    t = tally.setdefault(key, [0, 0])
+                    t[0] += e
+                    t[1] += n - e
+            every.clear()
+            ends.clear()
+            return pd.DataFrame({"kind": 1, "k": 0, "bucket": [h64(w) for w in tally], "size": [t[0] for t in tally.values()], "th": [t[1] for t in tally.values()], "asks": False})
+
         for batch in batches:
-            keys, sizes, found = [], [], []
+            keys, sizes, hashes, found, asking, counts, closing = [], [], [], [], [], [], []
             for k, t in zip(batch["k"], batch["t"]):
+                tokens = t.split()
+                every.update(tokens[:-1])
+                # A token that a capital or bracket follows ends a sentence if it has a full stop.
+                ends.update(a for a, b in zip(tokens, tokens[1:]) if a[-1] in ".!?)\"'”’]" and (b[0].isupper() or b[0] in "([") and _TERMINATED.search(a))
+                every.update(m[1] for a in tokens if "." in a and (m := _DECIMAL.match(a)))
+                if tokens:
+                    last, stop = tokens[-1], bool(_TERMINATED.search(tokens[-1]))
+                    if not stop:
+                        every[last] += 1
+                        ends[last] += 1
+                    closing += [(2, k, h64(f"w{last}"), 0, 0, stop), (3, k, h64(f"s{shape(last)}"), 0, 0, stop)]
                 s = shingles(t, cache)
                 if len(s):
-                    with np.errstate(over="ignore"):
-                        low = ((s[None, :] * a[:, None] + b[:, None]) >> np.uint64(11)).min(axis=1).reshape(BANDS, ROWS)
-                        h = (low * mix).sum(axis=1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                    found.append((h & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64))
+                    buckets, asks = bands.of(s)
+                    found.append(buckets)
+                    asking.append(asks)
                     keys.append(k)
                     sizes.append(len(t))
+                    hashes.append(xxhash.xxh32_intdigest(t) - (1 << 31))
+                    counts.append(len(buckets))
             if keys:
-                yield pd.DataFrame({"k": np.repeat(np.array(keys, np.int64), BANDS), "bucket": np.concatenate(found).view(np.int64), "size": np.repeat(np.array(sizes, np.int32), BANDS)})
+                rep = lambda x, kind: np.repeat(np.array(x, kind), counts)
+                yield pd.DataFrame({"kind": 0, "k": rep(keys, np.int64), "bucket": np.concatenate(found).view(np.int64), "size": rep(sizes, np.int64), "th": rep(hashes, np.int64), "asks": np.concatenate(asking)})
+            if closing:
+                yield pd.DataFrame(closing, columns=["kind", "k", "bucket", "size", "th", "asks"])
+            if len(every) > 500_000:
+                yield counted()
+        yield counted()
+
+    return texts.select("k", F.col("body").alias("t")).mapInPandas(scan, "kind int, k long, bucket long, size long, th long, asks boolean")
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(bands, "k long, bucket long, size int")
 
+def _chain(a: list[str], b: list[str]) -> list[int]:
+    """For every word of ``a`` its place in ``b`` (or -1), increasing: the common beginning, runs that hold once-only shingles, and their extensions."""
+    at = [-1] * len(a)
+    p = 0
+    while p < len(a) and p < len(b) and a[p] == b[p]:
+        at[p] = p
+        p += 1
+    if p == len(a):
+        return at
+    mine, other = _once(a, p), _once(b, p)
+    pairs = sorted((i, other[g]) for g, i in mine.items() if g in other)
+    # longest increasing run of places, by patience
+    tails: list[int] = []
+    held: list[tuple[int, int]] = []
+    back: list[int] = []
+    for n, (i, j) in enumerate(pairs):
+        at_pile = bisect_left(tails, j)
+        tails[at_pile : at_pile + 1] = [j]
+        held[at_pile : at_pile + 1] = [(n, j)]
+        back.append(held[at_pile - 1][0] if at_pile else -1)
+    n = held[-1][0] if held else -1
+    chain = []
+    while n >= 0:
+        chain.append(pairs[n])
+        n = back[n]
+    for i, j in reversed(chain):
+        for d in range(SHINGLE):
+            at[i + d] = j + d
+    # runs go on to both sides while the words are the same
+    last = p - 1
+    for i in range(p, len(a)):
+        if at[i] >= 0:
+            last = at[i]
+        elif i and at[i - 1] >= 0 and at[i - 1] + 1 < len(b) and a[i] == b[at[i - 1] + 1]:
+            at[i] = last = at[i - 1] + 1
+    for i in range(len(a) - 2, p - 1, -1):
+        if at[i] < 0 and at[i + 1] > 0 and a[i] == b[at[i + 1] - 1] and at[i + 1] - 1 > max(at[:i], default=-1):
+            at[i] = at[i + 1] - 1
+    return at
 
-def _similar(short: str, long: str) -> bool:
-    cache: dict[str, int] = {}
-    x, y = shingles(short, cache), shingles(long, cache)
-    same = len(np.intersect1d(x, y, assume_unique=True))
-    return same >= SIMILARITY * (len(x) + len(y) - same)
+
+def _once(x: list[str], start: int) -> dict[tuple[str, ...], int]:
+    seen: dict[tuple[str, ...], int] = {}
+    for i in range(start, len(x) - SHINGLE + 1):
+        g = tuple(x[i : i + SHINGLE])
+        seen[g] = -1 if g in seen else i
+    return {g: i for g, i in seen.items() if i >= 0}
+
+
+def _begins(part: str, word: str) -> bool:
+    """Whether ``part`` is a word broken off, or the word itself but for its punctuation."""
+    bare = part.rstrip(".,;:…")
+    return bool(bare) and word.startswith(bare)
+
+
+def _tail(rest: list[str], follows: list[str]) -> int | None:
+    """How many words of ``follows`` the unmatched end ``rest`` takes up, its last word matched and few others changed."""
+    if not rest:
+        return 0
+    row = list(range(len(follows) + 1))
+    for i, x in enumerate(rest, 1):
+        last, new = i == len(rest), [i]
+        for j, y in enumerate(follows, 1):
+            same = x == y or (last and _begins(x, y))
+            new.append(row[j - 1] if same else min(row[j - 1], row[j], new[-1]) + 1)
+            if last and not same:
+                new[-1] = len(rest) + len(follows)
+        row = new
+    cost, j = min((c, j) for j, c in enumerate(row[1:], 1)) if follows else (1, 0)
+    return j if cost <= (max(1, len(rest) // 3) if len(rest) > 1 else 0) else None
 
 
 def align(short: str, long: str) -> str | None:
-    """How ``short`` ends against its longer near-copy: ``cut``, ``whole``, or None where the copy does not decide."""
-    tokens = short.split()
-    if len(tokens) < 4:
+    """How ``short`` ends against ``long``: None for no near-copy, ``cut``, ``whole``, or ``near`` where that copy does not tell.
+
+    The words of both are aligned in order; the last ones are aligned with single changes allowed, and the very last
+    one may be the beginning of a word.
+    """
+    a, b = short.lower().split(), long.lower().split()
+    if len(a) < 4:
         return None
-    # The last whole words of the short text, found in the long one; its last token may be a part of a word.
-    tail = " ".join(tokens[-8:])
-    at = long.rfind(tail)
-    if at >= 0:
-        rest = long[at + len(tail) :]
-        if not rest.strip():
-            return None
-        if rest[0].isalnum() and tail[-1].isalnum():
-            verdict = "cut"
-        else:
-            verdict = "whole" if re.search(TERMINATED, tail) and rest[0].isspace() else "cut"
-        return verdict if _similar(short, long) else None
-    tail = " ".join(tokens[-9:-1])
-    at = long.rfind(tail)
-    following = long[at + len(tail) :].split(maxsplit=1) if at >= 0 else []
-    part = tokens[-1].rstrip(".,;:")
-    if following and part and following[0] != tokens[-1] and following[0].startswith(part) and _similar(short, long):
+    runs = lambda x: {tuple(x[i : i + SHINGLE]) for i in range(max(1, len(x) - SHINGLE + 1))}
+    mine = runs(a)
+    if len(a) > 2 * SHINGLE and len(mine & runs(b)) < SIMILARITY * len(mine) - 1:
+        return None
+    at = _chain(a, b)
+    size = min(SHINGLE, len(a))
+    n = len(a) - size + 1
+    steps = [0, *np.cumsum([x >= 0 and y == x + 1 for x, y in zip(at, at[1:])]).tolist()]
+    held = sum(steps[i + size - 1] - steps[i] == size - 1 for i in range(n))
+    # A word broken off spoils one shingle, which is none of the other text's.
+    if held < SIMILARITY * n - (at[-1] < 0):
+        return None
+    i = max(i for i, j in enumerate(at) if j >= 0)
+    rest, start = a[i + 1 :], at[i] + 1
+    if len(rest) > 3 * SHINGLE:
+        return "near"
+    used = _tail(rest, b[start : start + len(rest) + 3])
+    if used is None:
+        return "near"
+    end = start + used
+    word, own = b[end - 1], a[-1]
+    if word != own and len(word) > len(own.rstrip(".,;:…")) and word[len(own.rstrip(".,;:…"))].isalnum():
         return "cut"
-    return None
+    if end == len(b):
+        return "near"
+    return "whole" if _TERMINATED.search(own) and (word == own or _TERMINATED.search(word)) else "cut"
 
 
-def _near_copies(texts: DataFrame) -> DataFrame:
+def _near_copies(bands: DataFrame, texts: DataFrame) -> DataFrame:
     """(k, verdict) of the records that a near-copy decides; texts has (k, body)."""
-    bands = cut(band_hashes(texts, "k", "body"))
-    longest = bands.groupBy("bucket").agg(F.max(F.struct("size", "k")).alias("top"), F.min("size").alias("least")).where("least < top.size").select("bucket", "top.size", F.col("top.k").alias("partner"))
-    pairs = bands.withColumnRenamed("size", "own").join(longest, "bucket").where("own < size").select("k", "partner").distinct()
+    place = F.struct("size", "th", "k")
+    tops = bands.groupBy("bucket").agg(F.max(place).alias("top"), F.min(F.when(F.col("asks"), F.col("size"))).alias("least")).where("least < top.size").select("bucket", "top")
+    asking = bands.where("asks").join(tops, "bucket").where("size < top.size").select("bucket", "k", "size", F.col("top.k").alias("partner"))
+    asking = cut(asking)
     verdict = F.pandas_udf(lambda a, b: pd.Series([align(x, y) for x, y in zip(a, b)], dtype=object), "string")
-    other = texts.select(F.col("k").alias("partner"), F.col("body").alias("longer"))
-    judged = pairs.join(texts.select("k", "body"), "k").join(other, "partner").select("k", verdict("body", "longer").alias("verdict")).where("verdict is not null")
-    return judged.groupBy("k").agg(F.min("verdict").alias("verdict"))  # cut before whole
+    own, other = texts.select("k", "body"), texts.select(F.col("k").alias("partner"), F.col("body").alias("longer"))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        judged = pairs.select("k", "partner").distinct().join(own, "k").join(other, "partner").select("k", verdict("body", "longer").alias("verdict"))
+        return cut(judged.where("verdict is not null").groupBy("k").agg(F.min("verdict").alias("verdict")))  # cut before near before whole
+
+    found = done = judge(asking)
+    left = cut(asking.join(found, "k", "left_anti").select("bucket", "k", "size"))
+    if left.limit(1).count() == 0:
+        return done
+    # The rest goes on down the bucket's different texts, four times as many a round.
+    texts_of = bands.join(left.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket", "size", "th").agg(F.max("k").alias("partner"))
+    ranked = cut(texts_of.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), F.desc("th")))).where("rank > 1").withColumnRenamed("size", "long"))
+    tried = 1
+    while True:
+        longer = left.join(ranked, "bucket").where("size < long")
+        found = judge(longer.where((F.col("rank") > tried) & (F.col("rank") <= 4 * tried)))
+        done, tried = done.unionByName(found), 4 * tried
+        left = cut(left.join(found, "k", "left_anti"))
+        if left.join(ranked.where(F.col("rank") > tried), "bucket").where("size < long").limit(1).count() == 0:
+            return done
 
 
 def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, cut, reason)`` for every record with a non-blank text.
 
-    ``reason``: ``marked`` or ``markup`` (its own end shows the cut), ``copy`` (a near-copy runs on), ``closing``
+    ``reason``: ``copy`` (a near-copy runs on), ``marked`` or ``markup`` (its own end shows the cut), ``closing``
     (scored by terminality), or null for an uncut text. ``key`` is a unique number. Null and blank texts give no row;
     equal texts are judged alike; an empty table gives none. Closing notices of publishers are looked behind.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("raw")).where("k is not null").where(F.col("raw").rlike(r"\S"))
-    rows = rows.withColumn("plain", bib.plain_text(F.col("raw")))
-    rows = rows.withColumn("opened", bib.opened(F.col("plain")))
-    rows = rows.select("k", (F.col("plain") != "").alias("filled"), F.col("opened.body").alias("body"), F.col("opened.marked").alias("marked"))
-    open_end = lambda s: ~F.right(s, F.lit(8)).rlike(TERMINATED)
+    rows = rows.withColumn("plain", A.plain_text(F.col("raw"))).withColumn("opened", A.opened(F.col("plain")))
+    rows = rows.select("k", (F.col("plain") != "").alias("filled"), F.col("opened.sentences").alias("s"), F.col("opened.marked").alias("marked"))
     first = lambda s, n: F.substring_index(s, " ", n)
-    sentences = F.transform(
-        F.split("body", SENTENCES),
-        lambda s: F.struct(
-            first(s, 1).alias("lead1"), first(s, 2).alias("lead2"), (~open_end(s)).alias("closed"), (open_end(s) & s.rlike(CLOSING_FORM)).alias("form"),
-            F.when(first(s, 1) == s, 1).when(first(s, 2) == s, 2).otherwise(3).alias("words"),
-        ),
-    )
-    rows = cut(
-        rows.select("k", "body", "filled", (F.col("body") != "").alias("written"), sentences.alias("sentences"), "marked", F.right("body", F.lit(60)).rlike(BROKEN).alias("markup"))
-    ).where("filled")
-    copies = _near_copies(rows.where("written").select("k", "body"))
-
-    # Terminality by the whole corpus: how sentences with this beginning end.
-    parts = rows.where("written").select(F.posexplode("sentences").alias("i", "s"), F.size("sentences").alias("n"))
-    parts = parts.select("s.lead1", "s.lead2", "s.closed", (F.col("i") == F.col("n") - 1).alias("last"))
-    open_ = F.sum(F.when(F.col("last") & ~F.col("closed"), 1).otherwise(0)).alias("open")
-    closed = F.sum(F.when(F.col("closed"), 1).otherwise(0)).alias("closed")
-    by2 = parts.groupBy("lead1", "lead2").agg(open_, closed)
-    by2 = cut(by2)
-    by1 = by2.groupBy("lead1").agg(F.sum("open").alias("open1"), F.sum("closed").alias("closed1"))
-    ends = rows.select("k", "marked", "markup", "written", F.element_at("sentences", -1).alias("s"))
-    unsure = ends.where("not s.closed and written").select("k", "s.lead1", "s.lead2", "s.words", "s.form")
-    score2, score1 = F.col("open") / (F.col("open") + F.col("closed")), F.col("open1") / (F.col("open1") + F.col("closed1"))
-    enough = (F.col("words") > 2) & (F.col("open") + F.col("closed") >= 3)
-    scored = unsure.join(by2, ["lead1", "lead2"], "left").join(by1, "lead1", "left")
-    # A first word that begins many sentences settles it; two words tell kinds of closing matter apart.
-    plainly = (F.col("closed1") >= 20) & (score1 < 0.05)
-    rare = F.col("open1") + F.col("closed1") < 3
-    likely = F.when(rare, F.col("form").cast("double")).when(enough, score2).otherwise(score1)
-    scored = scored.select("k", ((F.col("words") < 2) | plainly | ~(likely >= 0.5)).alias("broken_off"))
-    out = ends.select("k", "marked", "markup").join(scored, "k", "left").join(copies, "k", "left")
-    reason = (
-        F.when(F.col("marked"), "marked").when(F.col("markup"), "markup").when(F.col("verdict") == "cut", "copy")
-        .when(F.col("verdict").isNull() & F.coalesce("broken_off", F.lit(False)), "closing")
-    )
+    sentences = F.transform("s", lambda s: F.struct(first(s, 1).alias("lead1"), first(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed")))
+    last = F.try_element_at("s", F.lit(-1))
+    words = F.when(first(last, 1) == last, 1).when(first(last, 2) == last, 2).otherwise(3)
+    rows = rows.select("k", "filled", F.array_join("s", " ").alias("body"), sentences.alias("sentences"), "marked", F.coalesce(last.rlike(BROKEN), F.lit(False)).alias("markup"), last.rlike(CLOSING_FORM).alias("form"), words.alias("words"))
+    rows = cut(rows).where("filled")
+    texts = rows.where("body <> ''").select("k", F.when(F.col("markup"), F.rtrim(F.regexp_replace("body", BROKEN, ""))).otherwise(F.col("body")).alias("body"))
+    scanned = cut(_scan(texts), "kind")
+    copies = _near_copies(scanned.where("kind = 0"), texts)
+
+    # How often closing words, and their shapes, end sentences and texts.
+    counts = scanned.where("kind = 1").groupBy("bucket").agg(F.sum("size").alias("ends"), F.sum("th").alias("inside"))
+    lasts = scanned.where("kind in (2, 3)").select("k", "kind", "bucket", F.col("asks").alias("stop")).join(counts, "bucket", "left")
+    pick = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    ends = lasts.groupBy("k").agg(F.max("stop").alias("stop"), pick(2, "ends").alias("e"), pick(2, "inside").alias("i"), pick(3, "ends").alias("es"), pick(3, "inside").alias("is"))
+    own = F.when(F.col("stop"), 0).otherwise(1)  # an open end was counted itself
+    prior = F.when(F.col("stop"), 1.0).otherwise(0.0)
+    estimate = lambda hit, n, before, weight: (hit + weight * before) / (n + weight)
+    shaped = estimate(F.col("es") - own, F.col("es") + F.col("is") - own, prior, 2.0)
+    ends = ends.select("k", "stop", shaped.alias("shaped"), estimate(F.col("e") - own, F.col("e") + F.col("i") - own, shaped, 2.0).alias("terminal"))
+
+    # How sentences that begin alike end.
+    parts = rows.select(F.posexplode("sentences").alias("i", "s"), F.size("sentences").alias("n")).select("s.lead1", "s.lead2", "s.closed", (F.col("i") == F.col("n") - 1).alias("last"))
+    by2 = cut(parts.groupBy("lead1", "lead2").agg(F.count_if(F.col("last") & ~F.col("closed")).alias("open2"), F.count_if("closed").alias("closed2")))
+    by1 = by2.groupBy("lead1").agg(F.sum("open2").alias("open1"), F.sum("closed2").alias("closed1"))
+    judged = rows.select("k", "marked", "markup", "form", "words", F.try_element_at("sentences", F.lit(-1)).alias("s")).join(ends, "k", "left")
+    unsure = judged.where("not stop").select("k", "s.lead1", "s.lead2", "words", "form", "shaped", "terminal")
+    likely = F.greatest("terminal", F.when(F.col("form"), 0.9).otherwise(0.0))
+    s1 = estimate(F.col("open1") - 1, F.col("open1") + F.col("closed1") - 1, likely, PRIOR)
+    s2 = estimate(F.col("open2") - 1, F.col("open2") + F.col("closed2") - 1, s1, PRIOR)
+    # A word alone may be the beginning of any, so only its shape counts.
+    scored = unsure.join(by2, ["lead1", "lead2"]).join(by1, "lead1").select("k", F.when(F.col("words") == 1, F.col("shaped")).when(F.col("words") == 2, s1).otherwise(s2).alias("score"))
+    out = judged.select("k", "marked", "markup", "stop", "terminal").join(scored, "k", "left").join(copies, "k", "left")
+    broken_off = F.coalesce(F.when(F.col("stop"), F.col("terminal")).otherwise(F.col("score")), F.lit(1.0)) < 0.5
+    unsettled = F.coalesce("verdict", F.lit("near")) == "near"
+    reason = F.when(F.col("verdict") == "cut", "copy").when(F.col("marked"), "marked").when(F.col("markup"), "markup").when(unsettled & broken_off, "closing")
     return out.select(F.col("k").alias(key), reason.isNotNull().alias("cut"), reason.alias("reason"))
