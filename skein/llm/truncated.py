@@ -31,8 +31,8 @@ from skein.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows of a whole text and of each beginning; words of the shortest beginning.
-BANDS, ROWS = 8, 4
-PREFIX_BANDS, PREFIX_ROWS, PREFIX = 3, 5, 16
+BANDS, ROWS = 6, 4
+PREFIX_BANDS, PREFIX_ROWS, PREFIX = 2, 4, 16
 #: Weight of the prior in the estimates, in observations.
 PRIOR = 4.0
 _WORD = re.compile(r"[^\W_]+")
@@ -40,9 +40,13 @@ _WORD = re.compile(r"[^\W_]+")
 BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|(?:^|[\s\d])&#?[A-Za-z0-9]*)$"
 #: What closing matter looks like: in brackets, or a label and a colon.
 CLOSING_FORM = r"^\(.*\)$|^[^.:]{2,40}:\s\S"
+#: Signs that join a word to the next; nothing closes with them.
+JOINING = r"[-–—,;:(\[/&+=]$"
 TERMINATED = r"[.!?][\"'”’)\]]*$"
 _TERMINATED = re.compile(TERMINATED)
-_DECIMAL = re.compile(r"[(\[]?(\d+\.)\d")
+#: Words that end a sentence: a full stop, and a capital or bracket after it; and the whole parts of decimals.
+_ENDS = re.compile(r"[^\s]*[.!?][\"'”’)\]]*(?=\s+[A-ZÀ-Þ(\[])")
+_DECIMAL = re.compile(r"(?<!\S)[(\[]?(\d+\.)\d")
 
 
 def shingles(text: str, cache: dict[str, int]) -> np.ndarray:
@@ -106,11 +110,12 @@ def shape(token: str) -> str:
 
 
 def _scan(texts: DataFrame) -> DataFrame:
-    """One pass over the texts (k, body).
+    """One pass over the texts (k, body); rows by ``kind``.
 
-    Rows by ``kind``: 0 a band (k, bucket, size, th: the text's hash, asks), 1 counts of a word or shape (bucket: its
-    hash, size: how often it ends a sentence or text, th: how often it does not), 2 and 3 a text's closing word and its
-    shape (k, bucket, asks: whether it has a full stop).
+    0: a band of a text (a: bucket, b: the text's code, flag: whether it asks under it), once a task for equal texts.
+    1: counts of a word or shape (a: its hash, b: how often it ends a sentence or text, c: how often it does not).
+    2: a text (a: k, b and c: hashes of its closing word and of that word's shape, d: code, e: hash, flag: full stop).
+    Codes are in the order of the texts' lengths, with a hash below.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,6 +125,13 @@ def _scan(texts: DataFrame) -> DataFrame:
         bands, h64 = Bands(), lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)
         every: Counter[str] = Counter()
         ends: Counter[str] = Counter()
+        met: set[int] = set()
+        empty = np.zeros(0, np.int64)
+
+        def frame(kind: int, a, b, c=None, d=None, e=None, flag=None) -> pd.DataFrame:
+            zero = np.zeros(len(a), np.int64)
+            rest = {n: zero if x is None else x for n, x in zip("cde", (c, d, e))}
+            return pd.DataFrame({"kind": kind, "a": a, "b": b, **rest, "flag": zero.astype(bool) if flag is None else flag})
 
         def counted() -> pd.DataFrame:
             tally: dict[str, list[int]] = {}
@@ -131,41 +143,49 @@ def _scan(texts: DataFrame) -> DataFrame:
                     t[1] += n - e
             every.clear()
             ends.clear()
-            return pd.DataFrame({"kind": 1, "k": 0, "bucket": [h64(w) for w in tally], "size": [t[0] for t in tally.values()], "th": [t[1] for t in tally.values()], "asks": False})
+            return frame(1, np.array([h64(w) for w in tally], np.int64), np.array([t[0] for t in tally.values()], np.int64), np.array([t[1] for t in tally.values()], np.int64))
 
         for batch in batches:
-            keys, sizes, hashes, found, asking, counts, closing = [], [], [], [], [], [], []
+            found, codes, counts, asking, closing = [empty.view(np.uint64)], [], [], [empty.astype(bool)], []
             for k, t in zip(batch["k"], batch["t"]):
                 tokens = t.split()
-                every.update(tokens[:-1])
-                # A token that a capital or bracket follows ends a sentence if it has a full stop.
-                ends.update(a for a, b in zip(tokens, tokens[1:]) if a[-1] in ".!?)\"'”’]" and (b[0].isupper() or b[0] in "([") and _TERMINATED.search(a))
-                every.update(m[1] for a in tokens if "." in a and (m := _DECIMAL.match(a)))
-                if tokens:
-                    last, stop = tokens[-1], bool(_TERMINATED.search(tokens[-1]))
-                    if not stop:
-                        every[last] += 1
-                        ends[last] += 1
-                    closing += [(2, k, h64(f"w{last}"), 0, 0, stop), (3, k, h64(f"s{shape(last)}"), 0, 0, stop)]
+                if not tokens:
+                    continue
+                last = tokens[-1]
+                stop = bool(_TERMINATED.search(last))
+                if stop:
+                    tokens.pop()  # a closing full stop proves nothing
+                else:
+                    ends[last] += 1
+                every.update(tokens)
+                ends.update(_ENDS.findall(t))
+                if "." in t:
+                    every.update(_DECIMAL.findall(t))
+                digest = xxhash.xxh64_intdigest(t)
+                code = min(len(t), (1 << 24) - 1) << 39 | digest >> 25
+                closing.append((k, h64(f"w{last}"), h64(f"s{shape(last)}"), code, digest - (1 << 63), stop))
+                if digest in met:
+                    continue
+                if len(met) > 2_000_000:
+                    met.clear()
+                met.add(digest)
                 s = shingles(t, cache)
                 if len(s):
                     buckets, asks = bands.of(s)
                     found.append(buckets)
                     asking.append(asks)
-                    keys.append(k)
-                    sizes.append(len(t))
-                    hashes.append(xxhash.xxh32_intdigest(t) - (1 << 31))
+                    codes.append(code)
                     counts.append(len(buckets))
-            if keys:
-                rep = lambda x, kind: np.repeat(np.array(x, kind), counts)
-                yield pd.DataFrame({"kind": 0, "k": rep(keys, np.int64), "bucket": np.concatenate(found).view(np.int64), "size": rep(sizes, np.int64), "th": rep(hashes, np.int64), "asks": np.concatenate(asking)})
+            yield frame(0, np.concatenate(found).view(np.int64), np.repeat(np.array(codes, np.int64), np.array(counts, np.int64)), flag=np.concatenate(asking))
             if closing:
-                yield pd.DataFrame(closing, columns=["kind", "k", "bucket", "size", "th", "asks"])
+                *columns, stops = zip(*closing)
+                a, b, c, d, e = (np.array(x, np.int64) for x in columns)
+                yield frame(2, a, b, c, d, e, np.array(stops, bool))
             if len(every) > 500_000:
                 yield counted()
         yield counted()
 
-    return texts.select("k", F.col("body").alias("t")).mapInPandas(scan, "kind int, k long, bucket long, size long, th long, asks boolean")
+    return texts.select("k", F.col("body").alias("t")).mapInPandas(scan, "kind int, a long, b long, c long, d long, e long, flag boolean")
 
 
 def _chain(a: list[str], b: list[str]) -> list[int]:
@@ -277,34 +297,40 @@ def align(short: str, long: str) -> str | None:
     return "whole" if _TERMINATED.search(own) and (word == own or _TERMINATED.search(word)) else "cut"
 
 
-def _near_copies(bands: DataFrame, texts: DataFrame) -> DataFrame:
+def _near_copies(scanned: DataFrame, texts: DataFrame) -> DataFrame:
     """(k, verdict) of the records that a near-copy decides; texts has (k, body)."""
-    place = F.struct("size", "th", "k")
-    tops = bands.groupBy("bucket").agg(F.max(place).alias("top"), F.min(F.when(F.col("asks"), F.col("size"))).alias("least")).where("least < top.size").select("bucket", "top")
-    asking = bands.where("asks").join(tops, "bucket").where("size < top.size").select("bucket", "k", "size", F.col("top.k").alias("partner"))
-    asking = cut(asking)
+    bands = scanned.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("code"), F.col("flag").alias("asks"))
+    known = scanned.where("kind = 2").select(F.col("a").alias("k"), F.col("d").alias("code"), F.col("e").alias("hash"))
+    reps = known.groupBy("code", "hash").agg(F.min("k").alias("k"))
+    shorter = lambda a, b: F.shiftright(a, 39) < F.shiftright(b, 39)
+    tops = bands.groupBy("bucket").agg(F.max("code").alias("top"), F.min(F.when(F.col("asks"), F.col("code"))).alias("least")).where(shorter(F.col("least"), F.col("top"))).select("bucket", "top")
+    asking = cut(bands.where("asks").select("bucket", "code").join(tops, "bucket").where(shorter(F.col("code"), F.col("top"))))
     verdict = F.pandas_udf(lambda a, b: pd.Series([align(x, y) for x, y in zip(a, b)], dtype=object), "string")
-    own, other = texts.select("k", "body"), texts.select(F.col("k").alias("partner"), F.col("body").alias("longer"))
 
     def judge(pairs: DataFrame) -> DataFrame:
-        judged = pairs.select("k", "partner").distinct().join(own, "k").join(other, "partner").select("k", verdict("body", "longer").alias("verdict"))
-        return cut(judged.where("verdict is not null").groupBy("k").agg(F.min("verdict").alias("verdict")))  # cut before near before whole
-
-    found = done = judge(asking)
-    left = cut(asking.join(found, "k", "left_anti").select("bucket", "k", "size"))
-    if left.limit(1).count() == 0:
-        return done
-    # The rest goes on down the bucket's different texts, four times as many a round.
-    texts_of = bands.join(left.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket", "size", "th").agg(F.max("k").alias("partner"))
-    ranked = cut(texts_of.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), F.desc("th")))).where("rank > 1").withColumnRenamed("size", "long"))
-    tried = 1
-    while True:
-        longer = left.join(ranked, "bucket").where("size < long")
-        found = judge(longer.where((F.col("rank") > tried) & (F.col("rank") <= 4 * tried)))
-        done, tried = done.unionByName(found), 4 * tried
-        left = cut(left.join(found, "k", "left_anti"))
-        if left.join(ranked.where(F.col("rank") > tried), "bucket").where("size < long").limit(1).count() == 0:
-            return done
+        """(code, hash, verdict) of the texts that one of their pairs (code, other) verifies."""
+        side = lambda code, role: reps.select(F.col("code").alias(code), F.col("hash").alias(f"h{role}"), F.col("k").alias(f"k{role}"))
+        keyed = cut(pairs.distinct().join(side("code", 0), "code").join(side("other", 1), "other").select("code", "h0", "k0", "k1"))
+        # The texts are met once; both of a pair then come together.
+        ends = keyed.select("k0", "k1", F.explode(F.array("k0", "k1")).alias("k"))
+        both = ends.join(texts, "k").groupBy("k0", "k1").agg(F.max(F.when(F.col("k") == F.col("k0"), F.col("body"))).alias("x"), F.max(F.when(F.col("k") == F.col("k1"), F.col("body"))).alias("y"))
+        judged = both.select("k0", verdict("x", "y").alias("verdict")).where("verdict is not null").groupBy("k0").agg(F.min("verdict").alias("verdict"))  # cut before near before whole
+        return cut(judged.join(keyed.select("code", "h0", "k0").distinct(), "k0").select("code", F.col("h0").alias("hash"), "verdict"))
+
+    found = done = judge(asking.select("code", F.col("top").alias("other")))
+    left = cut(asking.join(found, "code", "left_anti").select("bucket", "code"))
+    if left.limit(1).count():
+        # The rest goes on down the bucket's different texts, four times as many a round.
+        ranked = bands.join(left.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("code").alias("other")).distinct()
+        ranked = cut(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("other")))).where("rank > 1"))
+        tried, more = 1, True
+        while more:
+            longer = left.join(ranked, "bucket").where(shorter(F.col("code"), F.col("other")))
+            found = judge(longer.where((F.col("rank") > tried) & (F.col("rank") <= 4 * tried)).select("code", "other"))
+            done, tried = done.unionByName(found), 4 * tried
+            left = cut(left.join(found, "code", "left_anti"))
+            more = left.join(ranked.where(F.col("rank") > tried), "bucket").where(shorter(F.col("code"), F.col("other"))).limit(1).count() > 0
+    return known.join(done, ["code", "hash"]).select("k", "verdict")
 
 
 def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -321,17 +347,17 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     sentences = F.transform("s", lambda s: F.struct(first(s, 1).alias("lead1"), first(s, 2).alias("lead2"), F.right(s, F.lit(8)).rlike(TERMINATED).alias("closed")))
     last = F.try_element_at("s", F.lit(-1))
     words = F.when(first(last, 1) == last, 1).when(first(last, 2) == last, 2).otherwise(3)
-    rows = rows.select("k", "filled", F.array_join("s", " ").alias("body"), sentences.alias("sentences"), "marked", F.coalesce(last.rlike(BROKEN), F.lit(False)).alias("markup"), last.rlike(CLOSING_FORM).alias("form"), words.alias("words"))
+    rows = rows.select("k", "filled", F.array_join("s", " ").alias("body"), sentences.alias("sentences"), "marked", F.coalesce(last.rlike(BROKEN), F.lit(False)).alias("markup"), last.rlike(CLOSING_FORM).alias("form"), last.rlike(JOINING).alias("joining"), words.alias("words"))
     rows = cut(rows).where("filled")
     texts = rows.where("body <> ''").select("k", F.when(F.col("markup"), F.rtrim(F.regexp_replace("body", BROKEN, ""))).otherwise(F.col("body")).alias("body"))
     scanned = cut(_scan(texts), "kind")
-    copies = _near_copies(scanned.where("kind = 0"), texts)
+    copies = _near_copies(scanned, texts)
 
     # How often closing words, and their shapes, end sentences and texts.
-    counts = scanned.where("kind = 1").groupBy("bucket").agg(F.sum("size").alias("ends"), F.sum("th").alias("inside"))
-    lasts = scanned.where("kind in (2, 3)").select("k", "kind", "bucket", F.col("asks").alias("stop")).join(counts, "bucket", "left")
-    pick = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
-    ends = lasts.groupBy("k").agg(F.max("stop").alias("stop"), pick(2, "ends").alias("e"), pick(2, "inside").alias("i"), pick(3, "ends").alias("es"), pick(3, "inside").alias("is"))
+    counts = scanned.where("kind = 1").groupBy(F.col("a").alias("hash")).agg(F.sum("b").alias("ends"), F.sum("c").alias("inside"))
+    lasts = scanned.where("kind = 2").select(F.col("a").alias("k"), F.col("flag").alias("stop"), F.posexplode(F.array("b", "c")).alias("shape", "hash")).join(counts, "hash", "left")
+    pick = lambda kind, c: F.coalesce(F.max(F.when(F.col("shape") == kind, F.col(c))), F.lit(0))
+    ends = lasts.groupBy("k").agg(F.max("stop").alias("stop"), pick(0, "ends").alias("e"), pick(0, "inside").alias("i"), pick(1, "ends").alias("es"), pick(1, "inside").alias("is"))
     own = F.when(F.col("stop"), 0).otherwise(1)  # an open end was counted itself
     prior = F.when(F.col("stop"), 1.0).otherwise(0.0)
     estimate = lambda hit, n, before, weight: (hit + weight * before) / (n + weight)
@@ -342,8 +368,8 @@ def truncated(df: DataFrame, key: str, text: str) -> DataFrame:
     parts = rows.select(F.posexplode("sentences").alias("i", "s"), F.size("sentences").alias("n")).select("s.lead1", "s.lead2", "s.closed", (F.col("i") == F.col("n") - 1).alias("last"))
     by2 = cut(parts.groupBy("lead1", "lead2").agg(F.count_if(F.col("last") & ~F.col("closed")).alias("open2"), F.count_if("closed").alias("closed2")))
     by1 = by2.groupBy("lead1").agg(F.sum("open2").alias("open1"), F.sum("closed2").alias("closed1"))
-    judged = rows.select("k", "marked", "markup", "form", "words", F.try_element_at("sentences", F.lit(-1)).alias("s")).join(ends, "k", "left")
-    unsure = judged.where("not stop").select("k", "s.lead1", "s.lead2", "words", "form", "shaped", "terminal")
+    judged = rows.select("k", "marked", "markup", "form", "joining", "words", F.try_element_at("sentences", F.lit(-1)).alias("s")).join(ends, "k", "left")
+    unsure = judged.where("not stop").select("k", "s.lead1", "s.lead2", "words", "form", F.when(F.col("joining"), 0.0).otherwise(F.col("shaped")).alias("shaped"), F.when(F.col("joining"), 0.0).otherwise(F.col("terminal")).alias("terminal"))
     likely = F.greatest("terminal", F.when(F.col("form"), 0.9).otherwise(0.0))
     s1 = estimate(F.col("open1") - 1, F.col("open1") + F.col("closed1") - 1, likely, PRIOR)
     s2 = estimate(F.col("open2") - 1, F.col("open2") + F.col("closed2") - 1, s1, PRIOR)
