@@ -1,6 +1,6 @@
 import random
 
-from skein.llm.leak import Index, leaks, overlap, words
+from skein.llm.leak import Index, leaks, lightest, overlap, words
 from tests.conftest import tuples
 
 FILL = "the sample was stored at some degrees and read by staff who did not see the group".split()
@@ -33,12 +33,12 @@ def corpus():
 
 def test_against_all_pairs(spark):
     docs, items, want = corpus()
-    index = Index(items)
-    plain = {(d, i) for d, t in docs for i, _ in items if overlap(index.words[i], words(t), index.weight[i]) >= 0.5}
+    index = Index([(i, words(t)) for i, t in items])
+    plain = {(d, i) for d, t in docs for i, _ in items if overlap(index.words[i], words(t), index.weight[i])[0] >= 0.5}
     assert plain == want
     ddf, idf = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string")
     assert set(tuples(leaks(ddf, idf, "d", "t", "i", "t"), "d", "i")) == want
-    assert set(tuples(leaks(ddf, idf, "d", "t", "i", "t", block=17), "d", "i")) == want
+    assert set(tuples(leaks(ddf, idf, "d", "t", "i", "t", index_chars=3000), "d", "i")) == want
 
 
 def test_nulls_empty_and_repeats(spark):
@@ -60,3 +60,34 @@ def test_very_long_document(spark):
 def test_words():
     assert words("A&amp;B <b>bo</b>ld<br>x gra-\ndient “Q” ﬁne") == ["a", "b", "bold", "x", "gradient", "q", "fine"]
     assert words(None) == [] and words("") == []
+
+
+def test_retrieval_against_all_scores():
+    docs, items, _ = corpus()
+    for block in (1, 3, 8, 100):
+        index = Index([(i, words(t)) for i, t in items], block=block)
+        for _, t in docs:
+            terms = set(words(t)) & index.top.keys()
+            for level in (0, 1):
+                least = index.thresholds[level][0]
+                every = {o for o, w in enumerate(index.weight) if sum(w[x] for x in terms if x in w) >= least[o]}
+                near = {o for o in every if sum(index.weight[o][x] for x in terms if x in index.weight[o]) > least[o] + 1e-6}
+                assert near <= set(index.retrieve(terms, level)) <= every
+
+
+def test_long_items_and_bounds():
+    rng = random.Random(1)
+    own = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(30_000)]
+    index = Index([(1, own), (2, own[:40])])  # quick, because its time grows with the words only
+    assert index.candidates(own[7_000:23_000]) >= {0} and index.candidates(own[:25]) == {1}
+    weight = {w: 1.0 + hash(w) % 7 for w in own}
+    for size in (1, 2, 5, 30):
+        assert abs(lightest(own[:60], weight, size) - min(sum(weight[w] for w in set(own[a : a + size])) for a in range(61 - size))) < 1e-9
+
+
+def test_answers(spark):
+    docs, items, _ = corpus()
+    ddf = spark.createDataFrame([(1, items[0][1] + " Answer: B, as said."), (2, items[1][1] + " nothing else")], "d long, t string")
+    idf = spark.createDataFrame([(i, t, "B") for i, t in items], "i long, t string, a string")
+    out = leaks(ddf, idf, "d", "t", "i", "t", "a")
+    assert tuples(out, "d", "i", "answer_held") == [(1, 0, True), (2, 1, False)] and all(r["overlap"] == 1.0 for r in out.collect())
