@@ -90,19 +90,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = paper_groups(records.select("rec_id", "doi", "pmcid", "pmid", "title", "year"))
     slim = records.select("rec_id", bib.doi(F.col("doi")).alias("doi"), bib.pmcid(F.col("pmcid")).alias("pmcid"), "source", "fetched_at", F.char_length(bib.own_text(F.col("abstract"))).alias("own"))
     rows = slim.join(groups, "rec_id").join(sources, "source", "left")
-    trusted = -F.coalesce("trust", F.lit(1 << 30))
+    trusted, latest = 1 / (1 + F.col("trust")), (F.col("fetched_at"),)
     bundles = [
         Bundle("first", ("first_rec",), F.lit(True), (-F.col("first_rec"),)),
-        Bundle("doi", ("doi",), F.col("doi").isNotNull(), (trusted, F.col("fetched_at"))),
-        Bundle("pmcid", ("pmcid",), F.col("pmcid").isNotNull(), (trusted, F.col("fetched_at"))),
-        Bundle("abstract", ("abstract_rec",), F.col("own") > 0, (F.col("own"), trusted, F.col("fetched_at"))),
-        Bundle("source", ("source",), F.col("source").isNotNull(), (trusted,)),
+        Bundle("doi", ("doi",), F.col("doi").isNotNull(), latest, trusted),
+        Bundle("pmcid", ("pmcid",), F.col("pmcid").isNotNull(), latest, trusted),
+        Bundle("abstract", ("abstract_rec",), F.col("own") > 0, (trusted, *latest), F.col("own")),
+        Bundle("source", ("source",), F.col("source").isNotNull(), (), trusted),
     ]
     rows = rows.withColumn("first_rec", F.col("rec_id")).withColumn("abstract_rec", F.col("rec_id"))
     best = survivors(rows, ["component"], bundles)
     return best.select("first_rec", F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("pmcid", F.lit("")).alias("pmcid"), F.coalesce("abstract_rec", F.lit(0).cast("bigint")).alias("abstract_rec"), F.coalesce("source", F.lit("")).alias("source"))
 
 
+def p5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most trusted consistent identifiers of every title and year: a DOI's PMCID and PMID must stand in a record with it."""
+    sources = table(spark, sf_dir, "sources").select("source", (10 - F.col("trust")).alias("worth"))
+    records = texts(spark, sf_dir, "paper_records").where("title is not null and year is not null").join(sources, "source", "left")
+    some = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    rows = records.select(F.lower("title").alias("title"), "year", *[some(c).alias(c) for c in ("doi", "pmcid", "pmid", "journal")], F.coalesce("worth", F.lit(0)).alias("worth"))
+    bundles = [Bundle(c, (c,), F.col(c).isNotNull(), (), F.col("worth")) for c in ("doi", "pmcid", "pmid", "journal")]
+    return survivors(rows, ["title", "year"], bundles, (("doi", "pmcid"), ("doi", "pmid")))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in containers of 2,048 tokens."""
     docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,9 +122,14 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of evaluation items."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the share of the item's words that is held, and whether its answer stands behind them."""
     docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "eval_items").select("item_id", "text")
-    return leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text", "answer")
+    return leaks(docs, items, "doc_id", "text", "item_id", "text", "answer").withColumn("overlap", F.round("overlap", 6))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +144,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.join(docs, "doc_id").select("doc_id", "runs", "shared_chars", F.round(F.col("shared_chars") / F.col("n"), 6).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_shares": p3_shares, "p4_found": p4_found, "p5_found": p5_found, "p5_identifiers": p5_identifiers, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_shares": p8_shares}
+_SOME = ", ".join(f"nullif(lower(trim({c})), '') AS {c}" for c in ("doi", "pmcid", "pmid", "journal"))
+_VALUES = ", ".join(f"v_{c} AS (SELECT title, year, {c}, max(worth) AS t FROM r WHERE {c} IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT DISTINCT title, year, NULL, 0 FROM r)" for c in ("doi", "pmcid", "pmid", "journal"))
+SQL: dict[str, str] = {
+    "p2_found": "SELECT 'abstract' AS item, rec_id AS item_id FROM paper_records WHERE length(abstract) > 2500 UNION ALL SELECT 'markdown', parsed_id FROM parsed_documents WHERE length(markdown) > 2500",
+    # All choices of every group, the inconsistent ones left out.
+    "p5_identifiers": f"""WITH r AS (SELECT lower(title) AS title, year, {_SOME}, coalesce(10 - trust, 0) AS worth FROM paper_records LEFT JOIN sources USING (source) WHERE title IS NOT NULL AND year IS NOT NULL), {_VALUES},
+c AS (SELECT d.title, d.year, doi, pmcid, pmid, d.t + p.t + m.t AS t FROM v_doi d JOIN v_pmcid p USING (title, year) JOIN v_pmid m USING (title, year)
+  WHERE (doi IS NULL OR pmcid IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.title = d.title AND r.year = d.year AND r.doi = d.doi AND r.pmcid = p.pmcid))
+  AND (doi IS NULL OR pmid IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.title = d.title AND r.year = d.year AND r.doi = d.doi AND r.pmid = m.pmid))),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, year ORDER BY t DESC, doi DESC NULLS LAST, pmcid DESC NULLS LAST, pmid DESC NULLS LAST) AS n FROM c) WHERE n = 1),
+j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, year ORDER BY t DESC, journal DESC NULLS LAST) AS n FROM v_journal) WHERE n = 1)
+SELECT title, year, doi, pmcid, pmid, journal FROM b JOIN j USING (title, year)""",
+}

@@ -20,3 +20,18 @@ def test_query(spark, name):
     got = df.collect()
     if name in COLUMNS:
         assert df.columns == COLUMNS[name] and len(set(got)) == len(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    df = Q.QUERIES[name](spark, DATA)
+    rel = con.sql(Q.SQL[name])
+    at = [rel.columns.index(c) for c in sorted(df.columns)]
+    assert sorted(rel.columns) == sorted(df.columns)
+    assert sorted(repr(tuple(r[c] for c in sorted(df.columns))) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
