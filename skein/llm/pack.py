@@ -1,7 +1,9 @@
 """Filling fixed-capacity containers with items: hierarchical residual packing.
 
 Sizes are shuffled to partitions, each partition packs its items best-fit in descending order, nearly full bins are
-final, and the underfull ones become the items of the next round, in fewer partitions, until a round merges nothing.
+final, and the underfull ones become the items of the next round, in at most half as many partitions. Best fit leaves
+at most one bin a partition that is no more than half full, and only such a bin can still be merged; so the next round
+takes these and of the others as many of every fill as could be needed, until none is left that fits into another.
 Only numbers are packed; an item's container is found by joining the rounds.
 """
 
@@ -104,12 +106,13 @@ def _round(items: DataFrame, capacity: int, parts: int, full: float, level: int)
     return items.repartition(parts, F.xxhash64("item")).mapInPandas(pack, "item long, bin long, fill long, done boolean")
 
 
-def fill_containers(df: DataFrame, key: str, size: str, capacity: int = 2048, full: float = 0.995, per_task: int = 250_000, rounds: int = 8) -> DataFrame:
+def fill_containers(df: DataFrame, key: str, size: str, capacity: int = 2048, full: float = 0.995, per_task: int = 250_000) -> DataFrame:
     """``(key, part, container, from_unit, to_unit, fill)``: the container of every item, never splitting one that fits.
 
     ``key`` must be a unique number. An item over ``capacity`` is cut: all but its last part fill containers of their
     own, the last part is packed like an item. A size of 0 takes one unit, so that a container's members stay bounded;
-    null sizes and keys give no row. An empty table gives none. Every task packs up to about ``per_task`` numbers.
+    null sizes and keys give no row. An empty table gives none. Every task of the first round packs about ``per_task``
+    numbers; a later round has at most 4 * ``capacity`` of them for every task of the one before.
     """
     items = df.select(F.col(key).cast("long").alias("_k"), F.col(size).cast("long").alias("_n")).where("_k is not null and _n is not null").withColumn("_n", F.greatest("_n", F.lit(1)))
     last = F.expr(f"cast((_n - 1) div {capacity} as int)")
@@ -118,17 +121,24 @@ def fill_containers(df: DataFrame, key: str, size: str, capacity: int = 2048, fu
     parts = cut(parts.withColumn("item", F.when(F.col("part") == F.col("_l"), F.col("_k"))))
     level = parts.where("item is not null").select("item", (F.col("b") - F.col("a")).alias("size"))
     count, steps = level.count(), []
-    for r in range(rounds):
-        if not count:
-            break
-        tasks = max(1, math.ceil(count / per_task))
-        step = cut(_round(level, capacity, tasks, full, r + 1))
+    tasks = math.ceil(count / per_task)
+    while count:
+        step = cut(_round(level, capacity, tasks, full, len(steps) + 1))
         steps.append(step)
-        open_bins = step.where("not done").groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("size"))
-        left = open_bins.count()
-        if tasks == 1 or left > 0.98 * count:
+        if tasks == 1:
+            break
+        bins = cut(step.where("not done").groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("size")))
+        halves = bins.where(2 * F.col("size") <= capacity)
+        small, least = halves.agg(F.count("*"), F.min("size")).first()
+        if not small or bins.where(F.col("size") <= capacity - least).limit(2).count() < 2:
             break
-        level, count = open_bins, left
+        # Bins of one fill are interchangeable; four times the number of small ones is drawn of each (at most ``capacity`` fills).
+        room = bins.where((2 * F.col("size") > capacity) & (F.col("size") <= capacity - least))
+        often = room.groupBy("size").agg(F.count("*").alias("n"))
+        drawn = room.join(F.broadcast(often), "size").where(F.pmod(F.xxhash64("item"), F.col("n")) < 4 * small)
+        level = cut(halves.select("item", "size").unionByName(drawn.select("item", "size")))
+        count = level.count()
+        tasks = max(1, min(math.ceil(count / per_task), tasks // 2))
     if not steps:
         placed = parts.select("item", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("fill")).where("item is not null")
     else:
