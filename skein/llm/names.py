@@ -3,8 +3,8 @@
 Values are taken apart into family name, given name and initials; the given names are learned from the values whose
 form leaves no doubt. Values of equal parts are one node. Distinct family names are blocked by runs of their rarest
 letters (``subsequence_keys``), which any two of a high enough ratio share, and compared; nodes of one or of two near
-family names meet where their first initials or given names may be the same. Pairs whose given names agree as well are linked, and
-linked nodes form the name's variants.
+family names meet under further fields: given names that are the same, near or nicknames, or initials of which one has
+all of the other's. Pairs whose given names agree as well are linked, and linked nodes form the name's variants.
 """
 
 from __future__ import annotations
@@ -242,20 +242,30 @@ def _near(words: DataFrame, most: int) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """(a, b): nodes of near family names whose first initials or given names may be the same."""
+    """(a, b): nodes of near family names that ``agree`` may link.
+
+    Two nodes with given names meet under a given name that both may stand for, or under a pair of near ones. A node
+    with initials alone meets those of which it has all initials, or which have all of its own. So a family with one
+    first initial and many given names forms no pairs but these.
+    """
     named = nodes.where("family <> ''")
-    upper = lambda f: F.upper(F.substring(f, 1, 1))
-    firsts = F.concat(F.array(F.substring("initials", 1, 1)), F.transform(F.filter(F.concat(F.array("given"), F.split("formal", " ")), lambda f: f != ""), upper))
-    starts = named.select("node", "family", F.explode(F.array_distinct(firsts)).alias("first"))
-    # Near given names that begin differently (Catherine, Katherine) meet under a key of their own.
-    givens = named.where("given <> ''").select(F.col("given").alias("family"), F.lit(False).alias("grouped")).distinct()
-    apart = _near(givens, most).where("left(family, 1) <> left(other, 1)").select(F.explode(F.array("family", "other")).alias("given"), F.concat_ws("|", "family", "other").alias("first"))
-    starts = cut(starts.unionByName(named.join(apart, "given").select("node", "family", "first")))
+    formals = F.filter(F.split("formal", " "), lambda f: f != "")
+    givens = named.where("given <> ''")
+    same = givens.select("node", "family", F.explode(F.array_distinct(F.concat(F.array("given"), formals))).alias("key"))
+    near_given = _near(givens.select(F.col("given").alias("family"), F.lit(False).alias("grouped")).distinct(), most)
+    paired = near_given.select(F.explode(F.array("family", "other")).alias("given"), F.concat_ws("|", "family", "other").alias("key"))
+    shared = cut(same.unionByName(givens.join(paired, "given").select("node", "family", "key")))
+    starts = F.array_distinct(F.concat(F.array(F.substring("initials", 1, 1)), F.transform(formals, lambda f: F.upper(F.substring(f, 1, 1)))))
+    whole = named.select("node", "family", (F.col("given") == "").alias("vague"), F.explode(F.transform(starts, lambda x: F.concat(x, F.expr("substring(initials, 2)")))).alias("whole"))
+    sizes = F.sequence(F.least(F.lit(1), F.length("whole")), F.length("whole"))
+    begun = cut(whole.select("node", "family", "vague", F.explode(F.transform(sizes, lambda n: F.struct(F.substring("whole", F.lit(1), n).alias("key"), (n == F.length("whole")).alias("all")))).alias("k")).select("node", "family", "vague", "k.*"))
     families = named.select("family", (F.col("initials") == "#").alias("grouped")).distinct()
     near = cut(_near(families, most).unionByName(families.select("family", F.col("family").alias("other"))).distinct())
-    left = starts.join(near, "family").select(F.col("node").alias("a"), "family", "other", "first")
-    right = starts.select(F.col("node").alias("b"), F.col("family").alias("other"), "first")
-    return left.join(right, ["other", "first"]).where("family <> other or a < b").select("a", "b").distinct()
+    both = near.unionByName(near.where("family <> other").select(F.col("other").alias("family"), F.col("family").alias("other")))
+    to = lambda df, *more: df.select(F.col("node").alias("b"), F.col("family").alias("other"), "key", *more)
+    by_given = shared.join(near, "family").withColumnRenamed("node", "a").join(to(shared), ["other", "key"]).where("family <> other or a < b").select("a", "b")
+    by_initials = begun.where("vague").join(both, "family").withColumnRenamed("node", "a").join(to(begun, F.col("all").alias("b_all")), ["other", "key"]).where("(all or b_all) and a <> b").select("a", "b")
+    return by_given.unionByName(by_initials).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def variants(df: DataFrame, column: str, most: int = MOST) -> DataFrame:

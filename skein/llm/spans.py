@@ -79,6 +79,8 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 def edges(text: Hashed, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(node, edge, first window, last window) of a text of at least ``span`` characters."""
+    if text.n > int(_POS_MASK):
+        raise ValueError(f"a text of {text.n} characters is longer than positions can say")
     grams = text.windows(k)
     keyed = (grams & ~_POS_MASK) | np.arange(len(grams), dtype=np.uint64)
     at = (sliding_min(keyed, span - k + 1) & _POS_MASK).astype(np.int64)

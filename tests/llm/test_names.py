@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from skein.llm.names import lcs_ratio, parse, subsequence_keys, variant_pairs, variants
+from skein.llm.names import _candidates, _nodes, agree, lcs_ratio, parse, subsequence_keys, variant_pairs, variants
 from tests.conftest import tuples
 
 PERSON = ["Hufuhenaze LM", "Lena-Maria Hufuhenaze", "lena-maria hufuhenaze", "Hufuhenaze, Lena-Maria", "HUFUHENAZE LM", "L. M. Hufuhenaze", "Hufuhenaez LM", "Hufuhenaze, L. M.", "Lena Maria Hufuhenaze", "Hufuhenaze Lena-Maria", "Lena-Maria Hufuhen4ze MD"]
@@ -109,3 +109,18 @@ def test_given_names_of_other_initials_and_common_blocks(spark):
         entity = {r["name"]: r["entity"] for r in variants(spark.createDataFrame([(n,) for n in [*names, *common, slip[1]]], "name string"), "name", most=most).collect()}
         assert entity[slip[0]] == entity[slip[1]]
         assert {tuple(sorted(p)) for p in itertools.combinations(names, 2) if entity[p[0]] == entity[p[1]]} == want
+
+
+def test_candidates_are_all_that_agree_and_few_of_a_hot_family(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    givens = sorted({"".join(rng.choice("bdfglmnrstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))).capitalize() for _ in range(300)})
+    names = [f"Hotfamily, {'L' + g.lower()}" for g in givens] + [f"Hotfamily, {'L' + g.lower()} {rng.choice('ABC')}." for g in givens]
+    names += ["Hotfamily L", "Hotfamily LA", "Hotfamily LAB", "Hotfamely LB", "Hotfamily", "Catherine Hotfamily", "Katherine Hotfamily", "Bob Hotfamily", "Robert A. Hotfamely", "Hotfamily RA", "The Hot Group", "Hot Group"]
+    nodes = _nodes(spark.createDataFrame([(n,) for n in names], "name string"), "name").withColumn("node", F.xxhash64("family", "given", "initials")).drop("name").distinct()
+    rows = nodes.collect()
+    met = set(tuples(_candidates(nodes, 50)))
+    parts = lambda r: (r["family"], r["given"], r["initials"], r["formal"])
+    want = {tuple(sorted((a["node"], b["node"]))) for a, b in itertools.combinations(rows, 2) if a["family"] and b["family"] and agree(*parts(a), *parts(b))}
+    assert want <= met and len(met) < 40 * len(rows)
