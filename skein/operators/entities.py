@@ -5,21 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import scalars as S
 from skein.functions import text as T
 from skein.functions import vocabulary as V
+from skein.operators.vectors import nearest_in_blocks
+from skein.session import cut
 
 
 def normalized_forms(forms: DataFrame, column: str = "form") -> DataFrame:
     """(form, norm, key) of every distinct non-null form; NFKC runs once per form."""
     distinct = forms.select(F.col(column).alias("form")).where("form is not null").distinct()
-    plain = distinct.where(~F.col("form").rlike(r"[^\x00-\x7F]")).withColumn("wide", F.col("form"))
-    wide = distinct.where(F.col("form").rlike(r"[^\x00-\x7F]")).withColumn("wide", T.nfkc("form"))
-    norm = plain.unionByName(wide).select("form", S.normalize_name(F.col("wide")).alias("norm"))
-    return norm.withColumn("key", S.match_key(F.col("norm")))
+    return distinct.withColumn("norm", S.normalize_name(T.nfkc("form"))).withColumn("key", S.match_key(F.col("norm")))
 
 
 def alias_index(entities: DataFrame) -> DataFrame:
@@ -31,9 +30,8 @@ def alias_index(entities: DataFrame) -> DataFrame:
 
 def key_index(entities: DataFrame) -> DataFrame:
     """(key, name): match keys of names and aliases; names beat aliases, smaller names larger ones."""
-    spark_forms = normalized_forms(entities.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")))
     listed = entities.select("name", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("i", "form"))
-    keyed = listed.join(spark_forms, "form").where("key <> ''").select("key", F.when(F.col("i") == 0, 0).otherwise(1).alias("rank"), "name")
+    keyed = listed.select(S.match_key(S.normalize_name(T.nfkc("form"))).alias("key"), F.when(F.col("i") == 0, 0).otherwise(1).alias("rank"), "name").where("key <> ''")
     return keyed.groupBy("key").agg(F.min(F.struct("rank", "name")).alias("best")).select("key", F.col("best.name").alias("name"))
 
 
@@ -52,7 +50,7 @@ def seed_keys() -> dict[str, str]:
 
 def resolve_exact(forms: DataFrame, entities: DataFrame, column: str = "form") -> DataFrame:
     """(form, norm, name): registered key, else known synonym (under its registered name, if any), else null."""
-    index = key_index(entities)
+    index = cut(key_index(entities))  # looked up twice
     seeds = seed_keys()
     found = normalized_forms(forms, column).where("norm <> ''").join(index, "key", "left")
     seed = S.lookup(seeds, F.col("key"))
@@ -61,17 +59,15 @@ def resolve_exact(forms: DataFrame, entities: DataFrame, column: str = "form") -
     return seeded.join(again, "seed_key", "left").select("form", "norm", F.coalesce("name", "seed_name", "seed").alias("name"))
 
 
-def best_candidates(names: DataFrame, registry: DataFrame, top_k: int = 5, alpha: float = V.MERGE_ALPHA, threshold: float = V.MERGE_THRESHOLD) -> DataFrame:
+def best_candidates(names: DataFrame, registry: DataFrame, top_k: int = 5, alpha: float = V.MERGE_ALPHA, threshold: float = V.MERGE_THRESHOLD, block: int = 50_000) -> DataFrame:
     """(norm, candidate, score): for each vectorised name the best registered name at or above the threshold.
 
     ``names``: (norm, vec); ``registry``: (name, vec), unit vectors. The ``top_k`` nearest by cosine are taken before
-    the guards, so a blocked neighbour uses up a place. The registry is the small side; every name meets every
-    registered name once and a partial top list keeps what is shuffled at ``top_k`` rows a name and task.
+    the guards, so a blocked neighbour uses up a place. The registry is met in blocks of at most ``block`` vectors, as
+    matrix products in Arrow batches; only ``top_k`` rows a name and block are shuffled.
     """
-    near = names.crossJoin(registry.select(F.col("name").alias("candidate"), F.col("vec").alias("other")))
-    dot = F.aggregate(F.zip_with("vec", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    ranked = Window.partitionBy("norm").orderBy(F.desc("cos"), "candidate")
-    top = near.select("norm", "candidate", dot.alias("cos")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_k)
+    top = nearest_in_blocks(names.select(F.col("norm").alias("key"), "vec"), registry.select(F.col("name").alias("query"), "vec"), top_k, block, per="key")
+    top = top.select(F.col("key").alias("norm"), F.col("query").alias("candidate"), "cos")
     free = top.where(~S.merge_blocked(F.col("norm"), F.col("candidate")))
     scored = free.withColumn("score", alpha * F.col("cos") + (1 - alpha) * T.jw("norm", "candidate"))
     best = scored.groupBy("norm").agg(F.max(F.struct("score", F.col("candidate"))).alias("b"))
@@ -109,15 +105,14 @@ def resolve(forms: DataFrame, entities: DataFrame, embed: Callable[[str], list[f
     on the order of the forms; new forms of one batch are only merged by ``resolve_in_order``.
     """
     exact = resolve_exact(forms, entities, column)
-    known = exact.where("name is not null").select("form", "norm", "name", F.lit("exact").alias("how"))
-    rest = exact.where("name is null").select("form", "norm")
+    how = lambda known, other: F.when(known, "exact").otherwise(other)
     if embed is None:
-        return known.unionByName(rest.select("form", "norm", F.col("norm").alias("name"), F.lit("new").alias("how")))
-    vectors = with_vectors(rest.select("norm").distinct(), "norm", embed)
-    registry = with_vectors(entities.select("name"), "name", embed)
-    close = best_candidates(vectors, registry)
-    merged = rest.join(close, "norm", "left").select("form", "norm", F.coalesce("candidate", "norm").alias("name"), F.when(F.col("candidate").isNull(), "new").otherwise("similar").alias("how"))
-    return known.unionByName(merged)
+        return exact.select("form", "norm", F.coalesce("name", "norm").alias("name"), how(F.col("name").isNotNull(), F.lit("new")).alias("how"))
+    exact = cut(exact)
+    vectors = with_vectors(exact.where("name is null").select("norm").distinct(), "norm", embed)
+    close = best_candidates(vectors, with_vectors(entities.select("name"), "name", embed))
+    other = F.when(F.col("candidate").isNull(), "new").otherwise("similar")
+    return exact.join(close, "norm", "left").select("form", "norm", F.coalesce("name", "candidate", "norm").alias("name"), how(F.col("name").isNotNull(), other).alias("how"))
 
 
 def resolve_in_order(forms: list[str], registry: list[tuple[str, list[str]]], embed: Callable[[str], list[float]], alpha: float = V.MERGE_ALPHA, threshold: float = V.MERGE_THRESHOLD, top_k: int = 5) -> list[tuple[str, str]]:
@@ -209,11 +204,15 @@ def link_in_text(texts: DataFrame, aliases: DataFrame, key: str, column: str, ma
 
     split = lambda t: [w.replace("’", "'") for w in word.findall((t or "").lower())]
     slim = texts.select(F.col(key).alias("k"), F.col(column).alias("t"))
-    if aliases.limit(max_aliases + 1).count() <= max_aliases:
-        table = texts.sparkSession.sparkContext.broadcast({r["alias"]: r["name"] for r in aliases.select("alias", "name").toLocalIterator()})
+    known = aliases.groupBy("alias").agg(F.min("name").alias("name"))
+    if known.limit(max_aliases + 1).count() <= max_aliases:
+        table = texts.sparkSession.sparkContext.broadcast({r["alias"]: r["name"] for r in known.toLocalIterator()})
         found = F.pandas_udf(lambda s: s.map(lambda t: settle(split(t), table.value)), "array<string>")
         return slim.select(F.col("k").alias(key), F.posexplode(found("t")).alias("i", "name"))
+    # Texts under one key may be several, so what is matched belongs to the text, which its hash and length name.
+    slim = slim.withColumn("id", F.struct(F.xxhash64("t"), F.length("t")))
     runs = F.pandas_udf(lambda s: s.map(lambda t: sorted({" ".join(w[i : i + n]) for w in [split(t)] for i in range(len(w)) for n in range(1, max_words + 1) if i + n <= len(w)})), "array<string>")
-    hits = slim.select("k", F.explode(runs("t")).alias("alias")).join(aliases, "alias").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("names"))
+    once = slim.select("id", "t").where("t is not null").dropDuplicates(["id"])
+    hits = once.select("id", F.explode(runs("t")).alias("alias")).join(known, "alias").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("alias", "name"))).alias("names"))
     found = F.pandas_udf(lambda t, m: pd.Series([settle(split(x), dict(y)) for x, y in zip(t, m)]), "array<string>")
-    return slim.join(hits, "k").select(F.col("k").alias(key), F.posexplode(found("t", "names")).alias("i", "name"))
+    return slim.join(hits, "id").select(F.col("k").alias(key), F.posexplode(found("t", "names")).alias("i", "name"))

@@ -54,8 +54,8 @@ def merge_relation_papers(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def entity_rows(rows: DataFrame) -> DataFrame:
     """Entities with their first type that is not Other and the raw forms they were met under, in order."""
-    side = lambda s, i: rows.select(F.col(s).alias("name"), F.col(f"{s}_type").alias("type"), F.col(f"{s}_raw").alias("raw"), (F.col("seq") * 2 + i).alias("at"))
-    met = side("subject", 0).unionByName(side("object", 1))
+    side = lambda s, i: F.struct(F.col(s).alias("name"), F.col(f"{s}_type").alias("type"), F.col(f"{s}_raw").alias("raw"), (F.col("seq") * 2 + i).alias("at"))
+    met = rows.select(F.explode(F.array(side("subject", 0), side("object", 1))).alias("e")).select("e.*")
     forms = met.groupBy("name", "raw").agg(F.min("at").alias("at"), F.min(F.when(F.col("type") != "Other", F.struct("at", "type"))).alias("t"))
     alias = F.collect_list(F.when(F.col("raw").isNotNull() & (F.col("raw") != F.col("name")), F.struct("at", "raw")))
     out = forms.groupBy("name").agg(F.min("t").alias("t"), F.transform(F.array_sort(alias), lambda a: a["raw"]).alias("aliases"))
@@ -77,8 +77,17 @@ def upsert_papers(records: DataFrame, order: list[str]) -> DataFrame:
 
 
 def mark_processed(papers: DataFrame, runs: DataFrame) -> DataFrame:
-    """Papers with their processing state; ``runs``: (paper_id, n_triplets, n_chunks)."""
-    return papers.join(runs, "paper_id", "left").withColumn("processed", F.col("n_triplets").isNotNull())
+    """Papers with their processing state; ``runs``: (paper_id, n_triplets) and, where known, n_chunks and processed_at."""
+    more = {"n_chunks": "int", "processed_at": "timestamp"}
+    known = runs.withColumns({c: F.lit(None).cast(t) for c, t in more.items() if c not in runs.columns})
+    plain = papers.drop("processed", "n_triplets", *more)
+    return plain.join(known.select("paper_id", "n_triplets", *more), "paper_id", "left").withColumn("processed", F.col("n_triplets").isNotNull())
+
+
+def papers_by_id(papers: DataFrame, ids: list[str]) -> DataFrame:
+    """The papers of a list of ids in its order, each once; unknown ids are left out."""
+    wanted = papers.sparkSession.createDataFrame([(p, i) for i, p in enumerate(dict.fromkeys(ids))], "paper_id string, place int")
+    return papers.join(wanted, "paper_id").orderBy("place").drop("place")
 
 
 def graph_edges(edges: DataFrame) -> DataFrame:
@@ -134,36 +143,65 @@ def temporal_split(pairs: DataFrame, cutoff: int) -> DataFrame:
 
 
 def random_split(pairs: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
-    """Pairs with ``part`` train, val or test, by a seeded hash of the pair; the same pair always falls alike."""
-    x = F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return pairs.withColumn("part", F.when(x < test, "test").when(x < test + val, "val").otherwise("train"))
+    """Pairs (u, v) with ``part`` train, val or test in exact shares (rounded down), in the order of a seeded digest of the pair.
+
+    Where a share ends in that order is found from counts of digests by their first four signs; only the digests of one
+    such group, a 65,536th of all, come to the driver.
+    """
+    digest = F.md5(F.concat_ws("|", "u", "v", F.lit(str(seed))))
+    placed = cut(pairs.withColumn("_d", digest))
+    by = dict(placed.groupBy(F.substring("_d", 1, 4).alias("g")).count().collect())
+    total = sum(by.values())
+
+    def end(share: float) -> str:
+        """The digest before which this share of the pairs lies."""
+        left = int(total * share + 1e-9)
+        for g in sorted(by):
+            if left < by[g]:
+                return sorted(r["_d"] for r in placed.where(F.col("_d").startswith(g)).select("_d").collect())[left]
+            left -= by[g]
+        return "g"
+
+    first, second = end(test), end(test + val)
+    return placed.withColumn("part", F.when(F.col("_d") < first, "test").when(F.col("_d") < second, "val").otherwise("train")).drop("_d")
 
 
 def negative_pairs(pairs: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """``count`` node pairs without a link (fewer if the graph has fewer), drawn with a seed."""
+    """``count`` different node pairs without a link, drawn with a seed; all there are if the graph has fewer.
+
+    Each round lays two seeded orders of the nodes side by side and draws about a pair a node, until there are enough.
+    Where at most four times as many exist as are asked for, all of them are listed and drawn from.
+    """
+    linked = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
     nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct())
-    n = nodes.count()
-    if n < 2:
-        return pairs.select("u", "v").limit(0)
-    # Two seeded orders of the nodes, laid side by side bucket by bucket; each round draws about one pair a node.
-    buckets, drawn = max(1, n // 1000), None
-    for r in range(-(-2 * count // n) + 1):
+    n, order = nodes.count(), F.xxhash64("u", "v", F.lit(seed))
+    free = n * (n - 1) // 2 - linked.count()
+    if free <= 0 or count <= 0:
+        return linked.limit(0)
+    if free <= 4 * count:
+        every = nodes.select(F.col("n").alias("u")).join(nodes.select(F.col("n").alias("v")), F.col("u") < F.col("v"))
+        return every.join(linked, ["u", "v"], "left_anti").orderBy(order).limit(count)
+    buckets, drawn, have, step = max(1, n // 1000), None, 0, 0
+    while have < count:
         laid = []
-        for s, name in ((2 * r, "a"), (2 * r + 1, "b")):
-            h = F.xxhash64("n", F.lit(seed), F.lit(s))
+        for side, name in enumerate("ab"):
+            h = F.xxhash64("n", F.lit(seed), F.lit(2 * step + side))
             at = Window.partitionBy("bucket").orderBy("h", name)
             laid.append(nodes.select(F.col("n").alias(name), h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(buckets)).alias("bucket")).withColumn("i", F.row_number().over(at)).select("bucket", "i", name))
         both = laid[0].join(laid[1], ["bucket", "i"]).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        drawn = both if drawn is None else drawn.unionByName(both)
-    return drawn.distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti").orderBy(F.xxhash64("u", "v", F.lit(seed))).limit(count)
+        fresh = both.join(linked, ["u", "v"], "left_anti")
+        drawn = cut((fresh if drawn is None else drawn.unionByName(fresh)).distinct())
+        have, step = drawn.count(), step + 1
+    return drawn.orderBy(order).limit(count)
 
 
-def neighbors(edges: DataFrame, adj: DataFrame, name: str, limit: int = 50) -> DataFrame:
-    """The best edge to every neighbour of a node, by confidence times support."""
+def neighbors(edges: DataFrame, adj: DataFrame, name: str, limit: int | None = 50) -> DataFrame:
+    """The best edge to every neighbour of a node, by confidence times support; all of them without a limit."""
     own = best_edges(edges.where((F.col("u") == name) | (F.col("v") == name)))
     other = F.when(F.col("u") == name, F.col("v")).otherwise(F.col("u"))
     rated = own.select(other.alias("name"), "type", "source", "target", "confidence", "support", (F.col("confidence") * F.col("support")).alias("rating"))
-    return rated.join(degrees(adj), "name", "left").orderBy(F.desc("rating"), "name").limit(limit)
+    ordered = rated.join(degrees(adj), "name", "left").orderBy(F.desc("rating"), "name")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def edges_between(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -205,19 +243,28 @@ def contains_entities(entities: DataFrame, term: str) -> DataFrame:
     return entities.where(F.col("name").contains(t) | F.exists("aliases", lambda a: F.lower(a).contains(t))).select("name", "type")
 
 
-def adamic_adar(adj: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def adamic_adar(adj: DataFrame, seeds: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(source, target, score): nodes without a link to ``source`` that share neighbours with it; all sources if no seeds.
 
-    Shared neighbours of degree d count 1 / ln(d + 1), those of degree 1 nothing; sums are squashed to below 1.
+    Shared neighbours of degree d count 1 / ln(d + 1), those of degree 1 nothing; sums are squashed to below 1. Nodes
+    are numbered first, so that the two steps over a shared neighbour move numbers; ``targets`` (name) are chosen before
+    the sums.
     """
-    weight = degrees(adj).where("degree >= 2").select(F.col("name").alias("mid"), (1 / F.log(F.col("degree") + 1.0)).alias("x"))
-    first = adj.select(F.col("src").alias("source"), F.col("dst").alias("mid"))
+    nodes = cut(degrees(adj).withColumn("id", F.monotonically_increasing_id()))
+    number = lambda c, n: nodes.select(F.col("name").alias(c), F.col("id").alias(n), F.col("degree").alias(f"{n}_degree"))
+    links = cut(adj.join(number("src", "s"), "src").join(number("dst", "d"), "dst").select("s", "d", "s_degree"))
+    chosen = lambda wanted: nodes.join(wanted.select("name").distinct(), "name", "left_semi")
+    first = links.select(F.col("s").alias("source"), F.col("d").alias("mid"))
     if seeds is not None:
-        first = first.join(seeds.select(F.col("name").alias("source")), "source", "left_semi")
-    second = adj.select(F.col("src").alias("mid"), F.col("dst").alias("target")).join(weight, "mid")
-    reached = first.join(second, "mid").where("source <> target").groupBy("source", "target").agg(F.sum("x").alias("s"))
-    fresh = reached.join(adj.select(F.col("src").alias("source"), F.col("dst").alias("target")), ["source", "target"], "left_anti")
-    return fresh.select("source", "target", (1 - F.exp(-F.col("s"))).alias("score"))
+        first = first.join(chosen(seeds).select(F.col("id").alias("source")), "source", "left_semi")
+    second = links.where("s_degree >= 2").select(F.col("s").alias("mid"), F.col("d").alias("target"), (1 / F.log(F.col("s_degree") + 1.0)).alias("x"))
+    if targets is not None:
+        second = second.join(chosen(targets).select(F.col("id").alias("target")), "target", "left_semi")
+    reached = first.join(second, "mid").where("source <> target").groupBy("source", "target").agg(F.sum("x").alias("x"))
+    fresh = reached.join(links.select(F.col("s").alias("source"), F.col("d").alias("target")), ["source", "target"], "left_anti")
+    back = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    named = fresh.join(back("source"), "source").join(back("target"), "target")
+    return named.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), (1 - F.exp(-F.col("x"))).alias("score"))
 
 
 def top_predictions(scores: DataFrame, top_k: int, min_score: float) -> DataFrame:
@@ -229,7 +276,7 @@ def top_predictions(scores: DataFrame, top_k: int, min_score: float) -> DataFram
 
 def missing_links(adj: DataFrame, names: DataFrame, top_k: int, min_score: float) -> DataFrame:
     """The likeliest missing links among a set of nodes: first the minimum, then the top list."""
-    scores = adamic_adar(adj, names).where("source < target").join(names.select(F.col("name").alias("target")), "target", "left_semi")
+    scores = adamic_adar(adj, names, names).where("source < target")
     return scores.where(F.col("score") >= min_score).orderBy(F.desc(F.round("score", 9)), "source", "target").limit(top_k)
 
 
@@ -243,11 +290,11 @@ def materialize_predictions(adj: DataFrame, top_k: int = 5, min_score: float = 0
     return top_predictions(adamic_adar(adj, hubs(adj, max_nodes)), top_k, min_score).select("source", "target", "score", "method")
 
 
-def pagerank(adj: DataFrame, nodes: DataFrame, seeds: dict[str, float], damping: float = 0.85, steps: int | None = None, tol: float = 1e-9, most: int = 200, every: int = 5) -> DataFrame:
+def pagerank(adj: DataFrame, nodes: DataFrame, seeds: dict[str, float], damping: float = 0.85, steps: int | None = None, tol: float = 1e-9, most: int = 200) -> DataFrame:
     """(name, ppr): personalised PageRank over the strength-weighted graph, mass sums to 1.
 
     ``steps`` runs a fixed number of rounds; else rounds go on until the change is below ``tol``. The mass of nodes
-    without links returns to the seeds. The transition table is written once, partitioned by what it is joined on.
+    without links returns to the seeds. Every round's masses are written, so a round reads the one before and no more.
     """
     spark = adj.sparkSession
     total = sum(seeds.values())
@@ -258,30 +305,24 @@ def pagerank(adj: DataFrame, nodes: DataFrame, seeds: dict[str, float], damping:
     if base.where("e > 0").limit(1).count() == 0:
         raise KeyError("none of the seeds is in the graph")
     p = base.withColumn("p", F.col("e"))
-    for step in range(steps if steps is not None else most):
+    for _ in range(steps if steps is not None else most):
         gained = move.join(p.select(F.col("name").alias("src"), "p"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("m") * F.col("p")).alias("g"))
         lost = p.agg(F.sum(F.when(~F.col("linked"), F.col("p")).otherwise(0.0)).alias("lost"))
         fresh = p.withColumnRenamed("p", "before").join(gained, "name", "left").crossJoin(F.broadcast(lost))
-        p = fresh.select("name", "e", "linked", ((1 - damping) * F.col("e") + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") * F.col("e"))).alias("p"), "before")
-        if steps is None:
-            p = cut(p)
-            if p.agg(F.sum(F.abs(F.col("p") - F.col("before")))).first()[0] < tol:
-                break
-        elif (step + 1) % every == 0 and step + 1 < steps:
-            p = cut(p)
+        p = cut(fresh.select("name", "e", "linked", ((1 - damping) * F.col("e") + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") * F.col("e"))).alias("p"), "before"))
+        if steps is None and p.agg(F.sum(F.abs(F.col("p") - F.col("before")))).first()[0] < tol:
+            break
         p = p.drop("before")
     return p.select("name", F.col("p").alias("ppr"))
 
 
-def within_hops(adj: DataFrame, seed: str, hops: int) -> DataFrame:
-    """(name, hop): nodes within ``hops`` of a seed, by shortest way."""
-    seen = adj.sparkSession.createDataFrame([(seed, 0)], "name string, hop int")
-    rim = seen
+def way_to(step: DataFrame, target: str, hops: int) -> DataFrame:
+    """(name, hop, rest): nodes within ``hops`` of a node, the fewest steps and the least cost of a way there."""
+    known = cut(step.sparkSession.createDataFrame([(target, 0, 0.0)], "name string, hop int, rest double"))
     for h in range(1, hops + 1):
-        nxt = adj.join(rim.select(F.col("name").alias("src")), "src").select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti")
-        rim = cut(nxt.withColumn("hop", F.lit(h)))
-        seen = seen.unionByName(rim)
-    return seen
+        on = step.join(known.select(F.col("name").alias("dst"), "rest"), "dst").select(F.col("src").alias("name"), F.lit(h).alias("hop"), (F.col("rest") + F.col("cost")).alias("rest"))
+        known = cut(known.unionByName(on).groupBy("name").agg(F.min("hop").alias("hop"), F.min("rest").alias("rest")))
+    return known
 
 
 def grow(adj: list[tuple[str, str]], ppr: dict[str, float], seed: str, top_k: int, hops: int) -> list[tuple[str, int, str | None]]:
@@ -331,8 +372,8 @@ def local_subgraph(adj: DataFrame, nodes: DataFrame, seed: str, top_k: int = 20,
     return picked.join(rank, "name", "left")
 
 
-def k_hop_paths(adj: DataFrame, seed: str, hops: int) -> DataFrame:
-    """(nodes): all simple paths of 1 to ``hops`` steps from a seed (1 to 5)."""
+def k_hop_paths(adj: DataFrame, seed: str, hops: int, limit: int | None = None) -> DataFrame:
+    """(nodes): the simple paths of 1 to ``hops`` steps from a seed (1 to 5), all or the first ``limit``, shorter ones first."""
     hops = max(1, min(hops, 5))
     level = adj.where(F.col("src") == seed).select(F.array("src", "dst").alias("nodes"))
     out = level
@@ -340,38 +381,37 @@ def k_hop_paths(adj: DataFrame, seed: str, hops: int) -> DataFrame:
         nxt = level.withColumn("src", F.element_at("nodes", -1)).join(adj.select("src", "dst"), "src").where(~F.array_contains("nodes", F.col("dst")))
         level = nxt.select(F.array_append("nodes", F.col("dst")).alias("nodes"))
         out = out.unionByName(level)
-    return out
+    return out if limit is None else out.orderBy(F.size("nodes"), "nodes").limit(limit)
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 3, max_hops: int = 5, candidates: int = 61) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 3, max_hops: int = 5) -> DataFrame:
     """(rank, nodes, hops, cost, score, types): the ``k`` cheapest simple paths of at most ``max_hops`` steps.
 
     Paths are ranked by the cheapest edge of every pair and reported with the strongest one. Prefixes are extended by
-    joins; one whose cost already exceeds the ``k``-th best complete path is given up, and so is one that cannot reach
-    the target within the hops left. ``candidates`` bounds how many of the cheapest paths of any length are looked at,
-    as the classic enumeration does.
+    joins. One is given up when it cannot reach the target within the hops left, or when its cost and the least cost
+    from its end to the target exceed the ``k``-th best complete path; longer paths are not looked at.
     """
     if source == target:
         return edges.sparkSession.createDataFrame([], "rank int, nodes array<string>, hops int, cost double, score double, types array<string>")
     pair = edges.groupBy("u", "v").agg(F.min("cost").alias("cost"))
     ends = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
     step = cut(pair.select(F.explode(ends).alias("e"), "cost").select("e.src", "e.dst", "cost"))
-    back = cut(within_hops(step, target, max_hops))
+    back = way_to(step, target, max_hops)
     limit, done = None, None
     level = step.where(F.col("src") == source).select(F.array("src", "dst").alias("nodes"), F.col("cost").alias("total"))
     for h in range(1, max_hops + 1):
         level = cut(level)
         hits = level.where(F.element_at("nodes", -1) == target)
         done = hits if done is None else done.unionByName(hits)
-        best = [r["total"] for r in done.orderBy("total").limit(candidates).select("total").collect()]
+        best = [r["total"] for r in done.orderBy("total").limit(k).select("total").collect()]
         limit = best[k - 1] if len(best) >= k else None
         if h == max_hops:
             break
         open_ = level.where(F.element_at("nodes", -1) != target).withColumn("src", F.element_at("nodes", -1))
         nxt = open_.join(step, "src").where(~F.array_contains("nodes", F.col("dst"))).withColumn("total", F.col("total") + F.col("cost"))
-        nxt = nxt.join(back.where(F.col("hop") <= max_hops - h - 1).select(F.col("name").alias("dst")), "dst", "left_semi")
+        nxt = nxt.join(back.where(F.col("hop") <= max_hops - h - 1).select(F.col("name").alias("dst"), "rest"), "dst")
         if limit is not None:
-            nxt = nxt.where(F.col("total") <= limit)
+            nxt = nxt.where(F.col("total") + F.col("rest") <= limit + 1e-9)
         level = nxt.select(F.array_append("nodes", F.col("dst")).alias("nodes"), "total")
     order = Window.orderBy("total", "nodes")
     top = done.orderBy("total", "nodes").limit(k).withColumn("rank", F.row_number().over(order))

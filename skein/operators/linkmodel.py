@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import vocabulary as V
@@ -45,12 +42,15 @@ def score(model: LogisticRegressionModel, pairs: DataFrame, features: DataFrame)
 def save(model: LogisticRegressionModel, path: str, embedder: str, metrics: dict[str, float]) -> None:
     """The model, and beside it what it was trained with."""
     model.write().overwrite().save(path)
-    Path(f"{path}.json").write_text(json.dumps({"embedder": embedder, "metrics": metrics}))
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(embedder, metrics)], "embedder string, metrics map<string,double>").coalesce(1).write.mode("overwrite").json(f"{path}.about")
 
 
 def load(path: str, embedder: str) -> LogisticRegressionModel | None:
     """A saved model if there is one for this embedder; without one predictions fall back to shared neighbours."""
-    side = Path(f"{path}.json")
-    if not side.exists() or json.loads(side.read_text())["embedder"] != embedder:
+    spark = SparkSession.getActiveSession()
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.about")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
-    return LogisticRegressionModel.load(path)
+    about = spark.read.schema("embedder string").json(f"{path}.about").first()
+    return LogisticRegressionModel.load(path) if about and about["embedder"] == embedder else None

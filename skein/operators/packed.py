@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.bibliographic import let
+from skein.functions.text import let
 
 # Placeholders are MARK index STOP. A MARK that the text already holds is written MARK ESCAPE first, so no text can
 # read as a placeholder.
@@ -25,41 +25,64 @@ STRONG = rf"[;；|\t\r\n]+|(?<!\s)\s++/\s++|(?:,|(?<![\s,]))\s++(?:&|and|AND)\s+
 ABBREVIATED = r"(?i)\b(?:consort|netw|grp|collab)\.$"
 ET_AL = r"(?i)(?<![,\s])[,\s]*+\bet\.?\s++al\b\.?\s*+$"
 EDGES = r"^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$"
-#: A longer part is no given or family name, and the patterns below need not be tried on it.
-LONGEST = 300
-
-_WORD = r"[\p{L}\p{M}0-9][\p{L}\p{M}0-9'’\-]+"
-_PARTICLE = r"(?:(?i:van|von|de|del|della|der|den|di|da|dos|du|la|le|ter|ten|zu)\s+)*"
-#: One family name without given name: a word, with particles before it.
-BARE = rf"^\s*{_PARTICLE}{_WORD}\s*$"
-#: Two plain words; a family name with a space in it, or a given and a family name.
-TWO_WORDS = rf"^\s*{_PARTICLE}{_WORD}\s+{_WORD}\s*$"
-#: Only given names: initials, or a word with or without initials.
-GIVEN = rf"^\s*(?:(?:\p{{Lu}}\p{{M}}*\.?[\s\-]*)+|{_WORD}(?:\s+\p{{Lu}}\p{{M}}*\.)*)(?:\s+(?:MD|PhD))?\s*$"
+#: Particles that stand before a family name, and titles that stay behind a given name.
+PARTICLES = ("van", "von", "de", "del", "della", "der", "den", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu")
+TITLES = ("MD", "PhD")
+# Parts are judged word by word, with patterns whose time is linear and whose depth does not grow with the text.
+WORD = r"^[\p{L}\p{M}0-9][\p{L}\p{M}0-9'’\-]++$"
+INITIAL = r"^\p{Lu}\p{M}*+\.$"
+#: Initials: capitals with their marks, each perhaps dotted, with spaces or hyphens between.
+INITIALS, NO_INITIALS = r"^\p{Lu}[\p{Lu}\p{M}.\s\-]*+$", r"[.\s\-][.\p{M}]"
 #: A word and its undotted initials: a whole name.
-WITH_INITIALS = r"^.*[\p{L}\p{M}0-9]{2}.*\s(?:\p{Lu}\p{M}*[\s\-]?){1,4}$"
+WITH_INITIALS = r"^(?>.*?[\p{L}\p{M}0-9]{2}).*\s(?:\p{Lu}\p{M}*+[\s\-]?){1,4}$"
+
+
+def _judged(part: Column) -> Column:
+    """(text, bare, opens, given): a part of a list between commas.
+
+    ``bare``: one family name; ``opens``: that, or two plain words, which may be a family name with a space in it or
+    a given and a family name, but not a whole name; ``given``: only given names or initials.
+    """
+
+    def kinds(words: Column) -> Column:
+        n = F.size(words)
+        first = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*PARTICLES)), F.lit(False)).cast("int")
+        family = F.when(first == 0, F.slice(words, n, F.lit(1))).otherwise(F.slice(words, F.greatest(first, F.lit(1)), n))
+        plain = lambda ws: F.forall(ws, lambda w: w.rlike(WORD))
+        initials = lambda text: text.rlike(INITIALS) & ~text.rlike(NO_INITIALS)
+        named = lambda ws: F.element_at(ws, 1).rlike(WORD) & F.forall(F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda w: w.rlike(INITIAL))
+        given = lambda ws: initials(F.array_join(ws, " ")) | named(ws)
+        untitled = (n > 1) & F.element_at(words, -1).isin(*TITLES)
+        few = let(family, lambda f: F.struct(((F.size(f) == 1) & plain(f)).alias("bare"), ((F.size(f) <= 2) & plain(f)).alias("opens")))
+        whole = lambda f: F.struct(
+            part.alias("text"), f["bare"].alias("bare"), (f["opens"] & ~part.rlike(WITH_INITIALS)).alias("opens"),
+            (given(words) | (untitled & given(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(1)))))).alias("given"),
+        )
+        return let(few, whole)
+
+    return let(F.filter(F.split(part, r"\s+"), lambda w: w != ""), kinds)
 
 
 def _join_commas(parts: Column) -> Column:
     """Put a family name and the given name after its comma together again; other commas part names."""
-    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(None).cast("string").alias("open"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("names"), none.alias("open"), F.lit(False).alias("bare"))
 
     def step(acc: Column, part: Column) -> Column:
-        held = acc["open"]
-        short = F.char_length(part) <= LONGEST
-        opens = short & (part.rlike(BARE) | part.rlike(TWO_WORDS)) & ~part.rlike(WITH_INITIALS)
-        joins = held.isNotNull() & (held.rlike(BARE) | (short & part.rlike(GIVEN)))
+        held, text = acc["open"], part["text"]
+        joins = held.isNotNull() & (acc["bare"] | part["given"])
         closed = F.when(held.isNotNull(), F.array_append(acc["names"], held)).otherwise(acc["names"])
+        state = lambda names, open_, bare: F.struct(names.alias("names"), open_.alias("open"), bare.alias("bare"))
         return (
-            F.when(joins, F.struct(F.array_append(acc["names"], F.concat(held, F.lit(","), part)).alias("names"), F.lit(None).cast("string").alias("open")))
-            .when(opens, F.struct(closed.alias("names"), part.alias("open")))
-            .otherwise(F.struct(F.array_append(closed, part).alias("names"), F.lit(None).cast("string").alias("open")))
+            F.when(joins, state(F.array_append(acc["names"], F.concat(held, F.lit(","), text)), none, F.lit(False)))
+            .when(part["opens"], state(closed, text, part["bare"]))
+            .otherwise(state(F.array_append(closed, text), none, F.lit(False)))
         )
 
     def finish(acc: Column) -> Column:
         return F.when(acc["open"].isNotNull(), F.array_append(acc["names"], acc["open"])).otherwise(acc["names"])
 
-    return F.aggregate(parts, start, step, finish)
+    return F.aggregate(F.transform(parts, _judged), start, step, finish)
 
 
 def _restore(item: Column, spans: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +49,66 @@ def nearest(store: DataFrame, query: list[float], k: int = 10, vec: str = "embed
     return scored.orderBy(F.desc("exact"), key).limit(k).withColumn("score", F.round("exact", 4)).drop("exact")
 
 
-def nearest_each(queries: DataFrame, store: DataFrame, k: int = 5, vec: str = "embedding", key: str = "id") -> DataFrame:
-    """(query, key, score): for every query row (query, vec) its ``k`` nearest rows of the store.
+def nearest_in_blocks(store: DataFrame, queries: DataFrame, k: int, block: int = 50_000, per: str = "query") -> DataFrame:
+    """(key, query, cos) of the ``k`` best pairs of every value of ``per`` (key or query), by cosine; ties to the smaller other.
 
-    Vectors are brought to unit length once; every task meets all queries of its block and keeps ``k`` rows a query,
-    which is all that is shuffled.
+    ``store``: (key, vec); ``queries``: (query, vec). The queries are broadcast in blocks of at most about ``block``
+    vectors; every Arrow batch of the store is multiplied with the block and keeps ``k`` pairs a value, which is all
+    that is shuffled. Null, empty and zero vectors are near to nothing.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.nullif(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))), F.lit(0.0)))
-    left = queries.select("query", unit(F.col("vec")).alias("qv"))
-    right = store.select(F.col(key).alias("key"), unit(F.col(vec)).alias("sv"))
-    dot = F.aggregate(F.zip_with("qv", "sv", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    order = Window.partitionBy("query").orderBy(F.desc("exact"), "key")
-    top = right.crossJoin(left).select("query", "key", dot.alias("exact")).where("exact is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    return top.select("query", F.col("key").alias(key), F.round("exact", 6).alias("score"))
+    usable = lambda df: df.where(F.size("vec") > 0)
+    held = usable(queries)
+    parts = max(1, -(-held.count() // block))
+    kind = {f.name: f.dataType.simpleString() for f in [*store.schema, *queries.schema]}
+    out = None
+    for p in range(parts):
+        own = held if parts == 1 else held.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p)
+        names, matrix = [], []
+        for r in own.toLocalIterator():
+            v = np.array(r["vec"], float)
+            n = np.linalg.norm(v)
+            if n:
+                names.append(r["query"])
+                matrix.append(v / n)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        shared = store.sparkSession.sparkContext.broadcast((np.array(names, object)[order], np.array(matrix)[order] if matrix else None))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for batch in batches:
+                if matrix is None or batch.empty:
+                    continue
+                batch = batch.sort_values("key", kind="stable")
+                x = np.array(batch["vec"].tolist(), float)
+                length = np.linalg.norm(x, axis=1)
+                x, keys = x[length > 0] / length[length > 0, None], batch["key"].to_numpy()[length > 0]
+                cos = x @ matrix.T
+                if per == "query":
+                    cos = cos.T
+                top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                rows, columns = np.repeat(np.arange(len(cos)), top.shape[1]), top.ravel()
+                at = (columns, rows) if per == "query" else (rows, columns)
+                yield pd.DataFrame({"key": keys[at[0]], "query": names[at[1]], "cos": cos[rows, columns]})
+
+        found = usable(store).mapInPandas(best, f"key {kind['key']}, query {kind['query']}, cos double")
+        out = found if out is None else out.unionByName(found)
+    other = "key" if per == "query" else "query"
+    order = Window.partitionBy(per).orderBy(F.desc("cos"), other)
+    return out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def nearest_each(queries: DataFrame, store: DataFrame, k: int = 5, vec: str = "embedding", key: str = "id") -> DataFrame:
+    """(query, key, score): for every query row (query, vec) its ``k`` nearest rows of the store."""
+    top = nearest_in_blocks(store.select(F.col(key).alias("key"), F.col(vec).alias("vec")), queries.select("query", "vec"), k)
+    return top.select("query", F.col("key").alias(key), F.round("cos", 6).alias("score"))
+
+
+def counts(**collections: DataFrame) -> DataFrame:
+    """(collection, rows) of text stores."""
+    every = [df.select(F.lit(name).alias("collection")).groupBy("collection").count() for name, df in collections.items()]
+    known = reduce(DataFrame.unionByName, every)
+    names = known.sparkSession.createDataFrame([(n,) for n in collections], "collection string")
+    return names.join(known, "collection", "left").select("collection", F.coalesce("count", F.lit(0)).alias("rows"))
 
 
 def edge_filter(source: str | None = None, target: str | None = None, relation: str | None = None, papers: list[str] | None = None) -> Column:

@@ -45,7 +45,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def names(spark: SparkSession, sf: str) -> DataFrame:
     """Surface forms of the triplets with their entities."""
     forms = table(spark, sf, "triplets").select(F.explode(F.array("subject", "object")).alias("form"))
-    return E.resolve(forms, table(spark, sf, "entities"))
+    return cut(E.resolve(forms, table(spark, sf, "entities")))
 
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,6 +154,14 @@ def processed_papers(spark: SparkSession, sf: str) -> DataFrame:
     return G.mark_processed(table(spark, sf, "paper_records").where("paper_id is not null").select("paper_id").distinct(), runs).select("paper_id", "n_triplets", "processed")
 
 
+@query("WITH t AS (SELECT paper_id, count(*) AS n FROM triplets WHERE paper_id IN (SELECT paper_id FROM paper_records) GROUP BY 1), w AS (SELECT paper_id FROM t ORDER BY n DESC, paper_id LIMIT 20) SELECT paper_id, arg_max(nullif(title, ''), (landed_at, rec_id)) FILTER (nullif(title, '') IS NOT NULL) AS title FROM paper_records WHERE paper_id IN (SELECT paper_id FROM w) GROUP BY 1")
+def papers_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The papers of a list of ids: the twenty with most triplets."""
+    met = table(spark, sf, "triplets").join(table(spark, sf, "paper_records").select("paper_id").distinct(), "paper_id", "left_semi")
+    ids = [r["paper_id"] for r in met.groupBy("paper_id").count().orderBy(F.desc("count"), "paper_id").limit(20).collect()]
+    return G.papers_by_id(papers(spark, sf), ids).select("paper_id", "title")
+
+
 @query("SELECT DISTINCT paper_id FROM paper_records WHERE paper_id IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM triplets WHERE paper_id IS NOT NULL)")
 def pending_papers(spark: SparkSession, sf: str) -> DataFrame:
     """Papers still to be read."""
@@ -220,7 +228,7 @@ def pair_years(spark: SparkSession, sf: str) -> DataFrame:
 def entity_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of an entity by confidence and support."""
     e = cut(edges(spark, sf))
-    return G.neighbors(e, G.adjacency(e), SEED, limit=1_000_000).select("name", F.round("rating", 6).alias("rating"), "degree")
+    return G.neighbors(e, G.adjacency(e), SEED, limit=None).select("name", F.round("rating", 6).alias("rating"), "degree")
 
 
 @query(O.ROWS + "SELECT source, type, target, support, array_to_string(papers, '|') AS papers FROM edge WHERE (source = 'fuvuguate' AND target = 'rgk17') OR (source = 'rgk17' AND target = 'fuvuguate')")
@@ -286,21 +294,22 @@ def resolved_similar(spark: SparkSession, sf: str) -> DataFrame:
     return E.resolve(forms, table(spark, sf, "entities"), E.hash_embedder())
 
 
-_PAIRS = "WITH n AS (SELECT DISTINCT name FROM entities), p AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND left(a.name, 3) = left(b.name, 3))"
+_STEM = "list_distinct([CASE WHEN length(t) > 3 AND t[-1] = 's' THEN t[:-2] ELSE t END FOR t IN regexp_extract_all(lower({0}), '[a-z0-9]+')])"
+_PAIRS = "WITH n AS (SELECT DISTINCT name FROM entities), k AS (SELECT name, unnest(" + _STEM.format("name") + ") AS t FROM n), p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM k a JOIN k b ON a.t = b.t AND a.name < b.name)"
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "entities").select("name", F.substring("name", 1, 3).alias("k")).distinct()
-    return n.select(F.col("name").alias("a"), "k").join(n.select(F.col("name").alias("b"), "k"), "k").where("a < b").select("a", "b")
+    """Pairs of entity names that share a word but for its plural, which is how likely variants meet."""
+    n = table(spark, sf, "entities").select("name").distinct().select("name", F.explode(S.stem_tokens(F.col("name"))).alias("t"))
+    return n.withColumnRenamed("name", "a").join(n.withColumnRenamed("name", "b"), "t").where("a < b").select("a", "b").distinct()
 
 
 @query(_PAIRS + " SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw FROM p")
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Jaro-Winkler similarity of entity names that begin alike."""
+    """Jaro-Winkler similarity of entity names that share a word."""
     return _pairs(spark, sf).select("a", "b", F.round(T.jw("a", "b"), 6).alias("jw"))
 
 
-_STEM = "list_distinct([CASE WHEN length(t) > 3 AND t[-1] = 's' THEN t[:-2] ELSE t END FOR t IN regexp_extract_all(lower({0}), '[a-z0-9]+')])"
 
 
 @query(_PAIRS + f" SELECT a, b, (list_sort(regexp_extract_all(a, '\\d+')) <> list_sort(regexp_extract_all(b, '\\d+')) OR least(length(a), length(b)) < 4 OR len([x FOR x IN {_STEM.format('a')} || {_STEM.format('b')} IF (list_contains({_STEM.format('a')}, x) <> list_contains({_STEM.format('b')}, x)) AND x IN ({O.listed(O.V.MODIFIERS)})]) > 0) AS blocked FROM p")
@@ -362,7 +371,15 @@ def two_hop_paths(spark: SparkSession, sf: str) -> DataFrame:
     return paths.select(F.col("nodes")[1].alias("mid"), F.try_element_at("nodes", F.lit(3)).alias("target"))
 
 
-@query()
+_PATHS = f""", pc AS (SELECT u, v, min(cost) AS cost FROM meas GROUP BY 1, 2), st AS (SELECT u AS a, v AS b, cost FROM pc UNION ALL SELECT v, u, cost FROM pc),
+f1 AS (SELECT b AS n, [a, b] AS p, cost FROM st WHERE a = '{SEED}'), f2 AS (SELECT st.b AS n, list_append(f1.p, st.b) AS p, f1.cost + st.cost AS cost FROM f1 JOIN st ON st.a = f1.n WHERE f1.n <> '{OTHER}'),
+g1 AS (SELECT a AS n, [b] AS p, cost FROM st WHERE b = '{OTHER}'), g2 AS (SELECT st.a AS n, list_prepend(st.b, g1.p) AS p, st.cost + g1.cost AS cost FROM g1 JOIN st ON st.b = g1.n WHERE g1.n <> '{SEED}'),
+w AS (SELECT p, cost FROM f1 WHERE n = '{OTHER}' UNION ALL SELECT p, cost FROM f2 WHERE n = '{OTHER}' UNION ALL SELECT list_concat(f2.p, g1.p), f2.cost + g1.cost FROM f2 JOIN g1 USING (n) UNION ALL SELECT list_concat(f2.p, g2.p), f2.cost + g2.cost FROM f2 JOIN g2 USING (n)),
+top AS (SELECT * FROM (SELECT p, row_number() OVER (ORDER BY cost, p) AS rank FROM w WHERE len(list_distinct(p)) = len(p)) WHERE rank <= 3),
+walk AS (SELECT s.rank, s.p, s.i, b.source, b.type, b.target, b.confidence, b.support, {O.cost('b.confidence', 'b.support')} AS c FROM (SELECT rank, p, unnest(range(1, len(p))) AS i FROM top) s JOIN best b ON b.u = least(s.p[s.i], s.p[s.i + 1]) AND b.v = greatest(s.p[s.i], s.p[s.i + 1]))"""
+
+
+@query(O.ROWS + _PATHS + " SELECT rank::INTEGER AS rank, array_to_string(p, ' > ') AS nodes, count(*)::INTEGER AS hops, round(sum(c), 4) AS cost, round(product(confidence), 4) AS score FROM walk GROUP BY rank, p")
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The cheapest paths between two entities."""
     found = G.shortest_paths(cut(edges(spark, sf)), SEED, OTHER, k=3, max_hops=4)
@@ -375,11 +392,16 @@ def temporal_split(spark: SparkSession, sf: str) -> DataFrame:
     return G.temporal_split(cut(G.pair_years(edges(spark, sf))), 2015)
 
 
-@query()
+@query(O.ROWS + ", y AS (SELECT DISTINCT u, v FROM edge), r AS (SELECT u, v, row_number() OVER (ORDER BY md5(u || '|' || v || '|42')) - 1 AS r, count(*) OVER () AS n FROM y) SELECT u, v, CASE WHEN r < floor(n * 0.1 + 1e-9) THEN 'test' WHEN r < floor(n * 0.2 + 1e-9) THEN 'val' ELSE 'train' END AS part FROM r")
 def random_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Linked pairs parted at random, with the sampled non-pairs."""
-    pairs = cut(G.pair_years(edges(spark, sf)).select("u", "v"))
-    return G.random_split(pairs).unionByName(G.negative_pairs(pairs, 1000).withColumn("part", F.lit("negative")))
+    """Linked pairs parted at random in exact shares."""
+    return G.random_split(G.pair_years(edges(spark, sf)).select("u", "v"))
+
+
+@query()
+def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand pairs of nodes without a link, as a model is trained with."""
+    return G.negative_pairs(cut(G.pair_years(edges(spark, sf)).select("u", "v")), 1000)
 
 
 @query("WITH s AS (SELECT vec_id, embedding[1]::DOUBLE AS s, CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END AS y FROM embeddings), g AS (SELECT s, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY 1), w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb, sum(p) OVER (ORDER BY s DESC) AS pa, sum(n) OVER (ORDER BY s DESC) AS na FROM g) SELECT round(sum(p * (nb + n / 2)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * pa / (pa + na)) / sum(p), 6) AS ap FROM w")
@@ -420,7 +442,11 @@ prov AS (SELECT sha1(coalesce(paper_id, '') || '||' || subject || '||' || relati
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return VX.provenance_rows(rows(spark, sf).select("paper_id", "seq", "subject", "relation", "object", "confidence", "provenance_snippet").distinct())
+    return _evidence_of(cut(rows(spark, sf)))
+
+
+def _evidence_of(every: DataFrame) -> DataFrame:
+    return VX.provenance_rows(every.select("paper_id", "seq", "subject", "relation", "object", "confidence", "provenance_snippet").distinct())
 
 
 @query(O.ROWS + _PROV + "SELECT id, paper_id, subject, relation, object, round(confidence, 6) AS confidence, provenance_snippet AS text FROM prov")
@@ -429,10 +455,18 @@ def provenance_store(spark: SparkSession, sf: str) -> DataFrame:
     return _evidence(spark, sf).select("id", "paper_id", "subject", "relation", "object", F.round("confidence", 6).alias("confidence"), "text")
 
 
+@query(O.ROWS + _PROV + "SELECT 'provenance' AS collection, count(DISTINCT id) AS rows FROM prov UNION ALL SELECT 'mentions', count(*) FROM men")
+def store_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the stores."""
+    every = cut(rows(spark, sf))
+    return VX.counts(provenance=_evidence_of(every), mentions=G.mentions(every))
+
+
 @query(O.ROWS + _PROV + ", x AS (SELECT source, type, target, u, v, unnest(papers) AS paper_id FROM edge), j AS (SELECT x.source, x.type, x.target, p.id, row_number() OVER (PARTITION BY x.source, x.type, x.target ORDER BY p.confidence DESC NULLS LAST, p.id) AS rank FROM x JOIN prov p ON least(p.subject, p.object) = x.u AND greatest(p.subject, p.object) = x.v AND p.relation = x.type AND p.paper_id = x.paper_id) SELECT source, type, target, id, rank::INTEGER AS rank FROM j WHERE rank <= 2")
 def edge_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The two best snippets of every edge from its own papers."""
-    return VX.evidence_of(G.relation_papers(rows(spark, sf)), _evidence(spark, sf)).select("source", "type", "target", "id", "rank")
+    every = cut(rows(spark, sf))
+    return VX.evidence_of(G.relation_papers(every), _evidence_of(every)).select("source", "type", "target", "id", "rank")
 
 
 @query(O.ROWS + _PROV + f"SELECT id, round(confidence, 6) AS confidence FROM prov WHERE ((subject = '{SEED}' AND object = 'rgk17') OR (subject = 'rgk17' AND object = '{SEED}')) ORDER BY confidence DESC NULLS LAST, id LIMIT 5")
@@ -474,11 +508,15 @@ def paper_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "paper_records").select("rec_id", S.normalize_doi(c("doi")).alias("doi"), S.paper_id(c("doi"), c("pmcid"), c("pmid"), c("title")).alias("paper_id"), S.clean_year(c("year")).alias("year"))
 
 
-@query("SELECT rec_id, trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM paper_records WHERE title NOT LIKE '%&%'")
+_BARE = "regexp_replace(coalesce(title, ''), '<[^>]+>', ' ', 'g')"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#61;", "="), ("&micro;", "µ"), ("&nbsp;", " "), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_entity}', '{_sign}')"
+
+
+@query(f"SELECT rec_id, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')) AS title FROM paper_records")
 def stripped_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles without mark-up; those with entities go through a decoder and are tested elsewhere."""
-    clean = F.btrim(F.regexp_replace(F.regexp_replace("title", "<[^>]+>", " "), r"\s+", " "))
-    return table(spark, sf, "paper_records").where(~F.col("title").contains("&")).select("rec_id", clean.alias("title"))
+    """Titles without mark-up and entities."""
+    return table(spark, sf, "paper_records").select("rec_id", T.strip_markup(F.col("title")).alias("title"))
 
 
 @query("SELECT parsed_id, lower(nullif(regexp_extract(markdown, '(?i)\\b(10\\.\\d{4,9}/[^\\s\"<>]+[^\\s\"<>.,;)])', 1), '')) AS doi, substr(regexp_replace(coalesce(paper_id, ''), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 120) AS file FROM parsed_documents")
@@ -500,7 +538,16 @@ def paper_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("parsed_id", "c.index", "c.section", "c.text")
 
 
-@query()
+_BAG = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'))"
+
+
+@query(r"""WITH pa AS (SELECT paper_id, arg_max(nullif(abstract, ''), (landed_at, rec_id)) FILTER (nullif(abstract, '') IS NOT NULL) AS abstract FROM paper_records WHERE paper_id IS NOT NULL GROUP BY 1),
+j AS (SELECT row_number() OVER () AS rid, t.paper_id, seq, subject, object, regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g') AS flat, trim(regexp_replace(coalesce(provenance_snippet, ''), '\s+', ' ', 'g')) AS want FROM triplets t JOIN pa USING (paper_id)),
+b AS (SELECT *, list_distinct(list_concat({bag_s}, {bag_o}, {bag_w})) AS words, want <> '' AND contains(lower(flat), lower(want)) AS held FROM j),
+s AS (SELECT rid, words, string_split(regexp_replace(flat, '([.!?])\s+([A-Z0-9(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM b WHERE NOT held),
+u AS (SELECT rid, words, trim(unnest(parts)) AS part, unnest(range(len(parts))) AS i FROM s),
+m AS (SELECT rid, arg_max(part, (len(list_intersect({bag_p}, words)) / greatest(len(words), 1), -i)) AS part, max(len(list_intersect({bag_p}, words)) / greatest(len(words), 1)) AS score FROM u WHERE part <> '' GROUP BY 1)
+SELECT paper_id, seq, subject, object, CASE WHEN held THEN want WHEN score >= 0.3 THEN part ELSE '' END AS snippet FROM b LEFT JOIN m USING (rid)""".replace("{bag_s}", _BAG.format("subject")).replace("{bag_o}", _BAG.format("object")).replace("{bag_w}", _BAG.format("want")).replace("{bag_p}", _BAG.format("part")))
 def snippets_verified(spark: SparkSession, sf: str) -> DataFrame:
     """Snippets of the triplets held against the abstracts of their papers."""
     texts = papers(spark, sf).select("paper_id", F.coalesce("abstract", F.lit("")).alias("abstract"))
@@ -537,10 +584,10 @@ def search_papers(spark: SparkSession, sf: str) -> DataFrame:
     return R.search(snapshot(spark, sf), SEED)["papers"].select("paper_id", "n", "year", "via", "snippet_html")
 
 
-@query()
+@query(O.ROWS + _PATHS + " SELECT rank::INTEGER AS rank, (i - 1)::INTEGER AS i, source, type, target, round(confidence, 6) AS confidence, support FROM walk")
 def bridge_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Steps of the cheapest paths between two entities."""
-    return R.bridge(snapshot(spark, sf), SEED, OTHER, hops=4)["steps"].select("rank", "i", "source", "type", "target", "confidence", "support")
+    return R.bridge(snapshot(spark, sf), SEED, OTHER, hops=4)["steps"].select("rank", "i", "source", "type", "target", F.round("confidence", 6).alias("confidence"), "support")
 
 
 @query()
@@ -549,10 +596,26 @@ def chat_facts(spark: SparkSession, sf: str) -> DataFrame:
     return R.facts(snapshot(spark, sf), [SEED, OTHER])
 
 
-# Streams over the events table ----------------------------------------------------------------------------------
+@query()
+def chat_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The facts behind a question in words: its entities are found in it, besides the one in focus."""
+    found = R.build_context(snapshot(spark, sf), f"Does {OTHER} meet {SEED}?", focus=[SEED])
+    return found["facts"].select("place", "source", "type", "target", F.round("confidence", 6).alias("confidence"), "support")
 
 
 @query()
+def search_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes shown for an entity, with those that only predicted links lead to."""
+    return R.search(snapshot(spark, sf), SEED)["nodes"].select("name", "type", "hop", "parent", "degree")
+
+
+# Streams over the events table ----------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts IS NOT NULL),
+a AS (SELECT user_id, event_id, ts FROM e WHERE rn = 1 UNION ALL SELECT n.user_id, n.x.event_id, n.x.ts FROM (SELECT a.user_id, min({'rn': e.rn, 'event_id': e.event_id, 'ts': e.ts}) AS x FROM a JOIN e ON e.user_id IS NOT DISTINCT FROM a.user_id AND e.ts > a.ts + INTERVAL 3600 SECOND GROUP BY a.user_id) n)
+SELECT event_id, event_id IN (SELECT event_id FROM a) AS admitted FROM events""")
 def admitted_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events admitted by a sliding window per user, as a fold over the batch."""
-    return flows.admissions(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts", window=3600.0, limit=1, order="event_id")
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return flows.admissions(events, "user_id", "ts", window=3600.0, limit=1, order="event_id").select("event_id", "admitted")

@@ -31,6 +31,23 @@ def write_graph_json(nodes: DataFrame, pairs: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def write_graph_object(nodes: DataFrame, pairs: DataFrame, path: str) -> None:
+    """The graph as one object {names, types, pairs, years}, for tools that read a single file; pairs are places in names.
+
+    Names are in ascending order. The object is one row, so this is for graphs that fit into one file; others are
+    written by ``write_graph_json``.
+    """
+    names = nodes.groupBy("name").agg(F.min("type").alias("type")).agg(F.array_sort(F.collect_list(F.struct("name", "type"))).alias("n"))
+    listed = names.select(F.posexplode("n").alias("i", "n")).select("i", "n.name")
+    side = lambda c: listed.select(F.col("name").alias(c), F.col("i").alias(f"i_{c}"))
+    placed = pairs.join(side("u"), "u").join(side("v"), "v").agg(F.array_sort(F.collect_list(F.struct("i_u", "i_v", F.col("year").cast("int").alias("year")))).alias("p"))
+    whole = names.crossJoin(placed).select(  # two single rows
+        F.transform("n", lambda x: x["name"]).alias("names"), F.transform("n", lambda x: x["type"]).alias("types"),
+        F.transform("p", lambda x: F.array(x["i_u"], x["i_v"])).alias("pairs"), F.transform("p", lambda x: x["year"]).alias("years"),
+    )
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and pairs written by ``write_graph_json``, or a whole exported object {names, types, pairs, years}."""
     lines = spark.read.schema("node struct<name:string,type:string>, pair struct<u:string,v:string,year:int>, names array<string>, types array<string>, pairs array<array<int>>, years array<int>").option("multiLine", path.endswith(".json")).json(path)

@@ -1,8 +1,8 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
-from skein.functions import bibliographic as bib
 from skein.functions import scalars as S
 from skein.functions import text as T
 from tests.conftest import tuples
@@ -14,9 +14,6 @@ def column(spark, values, f):
 
 
 def test_identifiers(spark):
-    assert column(spark, ["10.1/AB.c", "doi:10.1/x", "https://r.example/10.91/y.v2", "N/A", "", None], bib.doi) == ["10.1/ab.c", "10.1/x", "10.91/y.v2", None, None, None]
-    assert column(spark, ["PMC12", "pmc 12", " 12", "null", "-", None, "12.0"], bib.pmcid) == ["PMC12", "PMC12", "PMC12", None, None, None, "PMC12"]
-    assert column(spark, ["PMID: 7", "0", "7", "x", None], bib.pmid) == ["7", None, "7", None, None]
     assert column(spark, ["https://doi.org/10.1/X", "DOI: 10.1/x", "", None], S.normalize_doi) == ["10.1/x", "10.1/x", None, None]
 
 
@@ -27,15 +24,6 @@ def test_paper_id_order(spark):
     assert got == ["10.1/a", "PMC1", "PMID:2", "hash:" + hashlib.sha1(b"").hexdigest()[:16]]
 
 
-def test_own_text(spark):
-    texts = ["<p>A  b.</p>", "A b. (c) The Press.", "A b. Copyright by X; all rights reserved. This article is protected by copyright.", "A b...", "A &amp; b [truncated]", "A cut wo Published under an open licence by Y.", None, ""]
-    assert column(spark, texts, bib.own_text) == ["Ab.", "Ab.", "Ab.", "Ab", "A&b", "Acutwo", None, ""]
-
-
-def test_titles(spark):
-    assert column(spark, ["A <i>b</i>: C.", "a B, c", "...", None], bib.title_key) == ["abc", "abc", None, None]
-
-
 def test_names(spark):
     assert column(spark, ["The  NF-κB_x ", "(IL-6)", "Alzheimer’s disease", None, "a"], S.normalize_name) == ["nf-kappab x", "il-6", "alzheimer's disease", None, "a"]
     assert column(spark, ["alzheimer's-disease", "il 6"], S.match_key) == ["alzheimers disease", "il 6"]
@@ -63,30 +51,54 @@ def test_json_answers(spark):
     assert got[0]["triplets"][0]["subject"] == "a" and got[1]["triplets"] == [] and got[2] is None and got[3] is None
 
 
-def test_clean_text():
+def test_clean_text(spark):
     raw = "1\nIntro\n\nThis inhibi-\ntion [1, 2] was (Smith et al., 2020) seen at https://x.y today .\n# Methods\nWe did a@b.cd it.\n12\n"
-    assert T.clean(raw) == "Intro\n\nThis inhibition was seen at today.\n\n# Methods\n\nWe did it."
     long = "Text line here.\n" * 10 + "References\nGone.\n"
-    assert "Gone" not in T.clean(long) and "Gone" in T.clean(long, strip_references=False)
-    assert T.clean(None) == "" and T.clean("") == ""
+    got = column(spark, [raw, long, None, "", "\r\n \r", "x", "  ﬁne\u00a0words\u2028in  lines"], T.clean_text)
+    assert got[0] == "Intro\n\nThis inhibition was seen at today.\n\n# Methods\n\nWe did it."
+    assert "Gone" not in got[1] and got[2:] == [None, "", "", "", "fine words in lines"]
+    assert "Gone" in column(spark, [long], lambda c: T.clean_text(c, strip_references=False))[0]
+    assert column(spark, ["12", "ab", "# a", "", "1.2 (3.4) 5", "a real line", "x"], T.is_noise) == [True, True, False, False, True, False, True]
+
 
+def test_sections(spark):
+    texts = ["Lead.\n\n## 2. Results\n\nFound it.\n\nMore.\n\nReferences\n\nNo.\n\nDiscussion\n\nNo.", "Methods:\nBelow the name.\n\nEnd.", "", None, "Abstract\n\nResults", "No heading"]
+    got = [x if x is None else [tuple(r) for r in x] for x in column(spark, texts, T.split_sections)]
+    assert got == [[("body", "Lead."), ("results", "Found it.\n\nMore.")], [("methods", "Below the name.\n\nEnd.")], [], None, [], [("body", "No heading")]]
 
-def test_sections_and_chunks():
-    text = "Lead.\n\n## 2. Results\n\nFound it.\n\nReferences\n\nNo."
-    assert T.sections(text) == [("body", "Lead."), ("results", "Found it.")]
-    parts = T.chunk("Aaa bbb. Ccc ddd. Eee fff.", limit=18, overlap=9)
-    assert parts == ["Aaa bbb. Ccc ddd.", "Ccc ddd. Eee fff."]
-    assert T.chunk("x" * 50, limit=20, overlap=5)[0] == "x" * 20
+
+def test_chunks(spark):
+    small = lambda c: T.chunk(c, limit=18, overlap=9)
+    assert column(spark, ["Aaa bbb. Ccc ddd. Eee fff.", "", "Aaa. Aaa. Aaa.", "y" * 40], small) == [["Aaa bbb. Ccc ddd.", "Ccc ddd. Eee fff."], [], ["Aaa. Aaa. Aaa."], ["y" * 18, "y" * 18, "y" * 4]]
     many = "\n\n".join(f"{n}\n\n" + "Word and more words here. " * 10 for n in ("Methods", "Abstract"))
-    assert [c["section"] for c in T.chunks(many, most=1)] == ["abstract"]
-    assert T.chunks(None) == []
+    assert [c["section"] for c in column(spark, [many], T.build_chunks(most=1))[0]] == ["abstract"]
+    every = column(spark, [many, None, "short"], T.build_chunks())
+    assert [(c["index"], c["section"]) for c in every[0]] == [(0, "methods"), (1, "abstract")] and every[1] is None and every[2] == []
+
+
+def test_chunks_against_plain_search(spark):
+    rng = random.Random(3)
+    texts = [" ".join(("Word" + "x" * rng.randint(0, 30)) + "." for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    for text, got in zip(texts, column(spark, texts, lambda c: T.chunk(c, limit=90, overlap=30))):
+        words, want, a = text.split(" "), [], 0
+        size = lambda x: sum(len(w) + 1 for w in x)
+        for i in range(len(words)):
+            if i > a and size(words[a : i + 1]) > 90:
+                want.append(" ".join(words[a:i]))
+                a = next(j for j in range(a, i + 1) if size(words[j:i]) <= 31)
+        assert got == [*want, " ".join(words[a:])]
 
 
-def test_supporting_sentence():
+def test_supporting_sentence(spark):
     text = "Cocoa is sweet. Curcumin inhibits NF-kB in cells."
-    assert T.supporting_sentence("curcumin  inhibits", text, "a", "b") == "curcumin inhibits"
-    assert T.supporting_sentence("", text, "curcumin", "nf-kb") == "Curcumin inhibits NF-kB in cells."
-    assert T.supporting_sentence("", text, "zinc", "gold") == ""
+    rows = [("curcumin  inhibits", text, "a", "b"), ("", text, "curcumin", "nf-kb"), (None, text, "zinc", "gold"), ("x", None, "a", "b")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, t string, a string, b string")
+    got = [r["o"] for r in df.select("i", T.find_snippet("s", "t", "a", "b").alias("o")).orderBy("i").collect()]
+    assert got == ["curcumin inhibits", "Curcumin inhibits NF-kB in cells.", "", ""]
+
+
+def test_markup(spark):
+    assert column(spark, ["A <i>b</i> &amp; c", None, " &lt;x&gt; ", "a<br>b"], T.strip_markup) == ["A b & c", "", "<x>", "a b"]
 
 
 def test_highlight_and_snippet(spark):

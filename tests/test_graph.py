@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skein.operators import entities as E
 from skein.operators import graph as G
 from skein.operators import vectors as X
-from skein.operators.components import components
 from skein.plans import ingest as I
 from skein.plans import retrieval as R
 from tests.conftest import tuples
@@ -160,10 +159,78 @@ def test_context(snap):
     facts = R.facts(snap, ["chocolate", "nf-kb"])
     none = facts.sparkSession.createDataFrame([], "doi string, title string, year int, text string, source string, target string, score double, method string")
     text = R.format_context(facts, none, none)
-    assert "[F1] chocolate --CONTAINS_COMPOUND--> cocoa (confidence 0.95, 1 paper(s))" in text and text.endswith("(none)")
+    assert "E1. chocolate | CONTAINS_COMPOUND | cocoa (certainty 0.95, papers: 1)" in text and text.endswith("none")
     assert R.answer("q", text, True)["answer"].endswith(text) and not R.answer("q", "", False)["grounded"]
 
 
+def test_question_context(snap):
+    spark = snap.adj.sparkSession
+    found = R.build_context(snap, "Does curcumin or chocolate act on nf-kb?", focus=["chocolate", "zzz"])
+    assert found["entities"] == ["chocolate", "curcumin", "nf-kb"] and found["grounded"] and "chocolate | CONTAINS_COMPOUND | cocoa" in found["context"]
+    store = spark.createDataFrame([(f"i{k}", f"text {k}", "p1", [float(k), 1.0]) for k in range(3)], "id string, text string, paper_id string, embedding array<double>")
+    found = R.build_context(snap, "nf-kb", embed=lambda q: [2.0, 1.0], chunks=store.where("id = 'i0'"), evidence=store)
+    assert [r["id"] for r in found["excerpts"].collect()][0] == "i2" and "P1. " in found["context"]
+    nothing = R.build_context(snap, "unheard of")
+    assert not nothing["grounded"] and nothing["entities"] == [] and nothing["facts"].count() == 0
+
+
+def test_predicted_ends_and_scored_pairs(snap):
+    shown = {r["name"]: (r["hop"], r["degree"]) for r in R.search(snap, "chocolate", top_k=3, hops=1)["nodes"].collect()}
+    assert shown["chocolate"][0] == 0 and all(d > 0 for _, d in shown.values())
+    scores = lambda a, b: [r["score"] for r in R.bridge(snap, a, b)["predicted"].collect()]
+    assert scores("chocolate", "cocoa") == [0.0] and len(scores("chocolate", "curcumin")) == 1
+
+
+def test_dense_graphs_and_exact_shares(spark):
+    nodes = [f"n{i}" for i in range(12)]
+    every = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]]
+    free = set(every[::5])
+    pairs = spark.createDataFrame([p for p in every if p not in free], "u string, v string")
+    for count in (1, 3, 10, 100):
+        got = {tuple(sorted(r)) for r in G.negative_pairs(pairs, count).collect()}
+        assert len(got) == min(count, len(free)) and got <= {tuple(sorted(p)) for p in free}
+    parts = [r["part"] for r in G.random_split(spark.createDataFrame(every, "u string, v string"), 0.1, 0.2).collect()]
+    assert (parts.count("test"), parts.count("val"), parts.count("train")) == (13, 6, 47)
+    assert G.random_split(pairs.limit(0)).count() == 0
+
+
+def test_shortest_paths_against_enumeration(spark):
+    import itertools
+
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(9)]
+    data = [(a, "R", b, round(rng.uniform(0.2, 0.95), 3), rng.randint(1, 5)) for a, b in itertools.combinations(names, 2) if rng.random() < 0.5]
+    edges = G.graph_edges(spark.createDataFrame(data, "source string, type string, target string, confidence double, support int"))
+    cost = {frozenset((r["u"], r["v"])): r["cost"] for r in edges.collect()}
+    ways = []
+    for n in range(0, 4):
+        for mid in itertools.permutations(names[1:-1], n):
+            path = [names[0], *mid, names[-1]]
+            steps = [frozenset(p) for p in zip(path, path[1:])]
+            if all(s in cost for s in steps):
+                ways.append((sum(cost[s] for s in steps), path))
+    want = [p for _, p in sorted(ways)[:6]]
+    assert [r["nodes"] for r in G.shortest_paths(edges, names[0], names[-1], k=6, max_hops=4).orderBy("rank").collect()] == want
+
+
+def test_blocks_of_vectors(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)] + [(90, [0.0] * 6), (91, None)]
+    store = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = store.where("id % 7 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("vec"))
+    top = lambda block: tuples(X.nearest_in_blocks(store.select(F.col("id").alias("key"), F.col("embedding").alias("vec")), queries, 4, block).select("query", "key"))
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows if v and any(v)}
+    want = sorted((q, i) for q in unit if q % 7 == 0 for i in sorted(unit, key=lambda i: (-sum(a * b for a, b in zip(unit[q], unit[i])), i))[:4])
+    assert top(50_000) == want and top(3) == want
+
+
+def test_both_ways_of_linking_agree(spark):
+    aliases = spark.createDataFrame([("cocoa", "cocoa"), ("cocoa", "zz"), ("cocoa butter", "fat"), ("x", "y"), ("nf-kb", "nf-kb")], "alias string, name string")
+    docs = spark.createDataFrame([(1, "Cocoa butter, nf-kb"), (1, "cocoa and cocoa"), (1, "cocoa and cocoa"), (None, "cocoa butter"), (3, ""), (4, None)], "k int, t string")
+    rows = lambda n: sorted(map(repr, E.link_in_text(docs, aliases, "k", "t", max_aliases=n).collect()))
+    assert rows(1) == rows(100) and len(rows(1)) == 5
+
+
 def test_split_and_negatives(spark):
     pairs = spark.createDataFrame([("a", "b", 2000), ("b", "c", 2001), ("a", "c", 2010), ("a", "z", 2011), ("c", "d", None)], "u string, v string, year int")
     assert tuples(G.temporal_split(pairs, 2005), "u", "v", "part") == [("a", "b", "old"), ("a", "c", "test"), ("b", "c", "old"), ("c", "d", "old")]
@@ -178,15 +245,6 @@ def test_metrics(spark):
     assert round(r["auc"], 6) == 0.75 and round(r["ap"], 6) == round((1 + 2 / 4) / 2, 6)
 
 
-def test_components(spark):
-    links = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "d"), (6, "d"), (6, "d"), (7, None), (None, "a")]
-    got = tuples(components(spark.createDataFrame(links, "node long, key string")))
-    assert got == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
-    chain = spark.range(1, 120).select(F.col("id").alias("node"), F.explode(F.array("id", F.col("id") + 1)).alias("key"))
-    assert {r["component"] for r in components(chain).collect()} == {1}
-    assert components(spark.createDataFrame([], "node long, key string")).count() == 0
-
-
 ENTITIES = [("nf-kb", "Protein", ["NF-kappaB"]), ("interleukin-8", "Protein", []), ("cocoa", "Food", ["cacao"])]
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -25,6 +26,24 @@ def test_stream_equals_batch(spark, tmp_path):
     flows.keep_relations(stream, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
     assert tuples(G.relations(flows.read_relations(spark, str(tmp_path / "t"))), *key) == kept
     assert flows.read_relations(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken" / "current").mkdir(parents=True)
+    (tmp_path / "broken" / "current" / "part-0.json").write_text('{"bucket": 0, "version": 7}')
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        flows.read_relations(spark, str(tmp_path / "broken"))
+
+
+def test_admissions_of_a_long_history(spark):
+    t0, rng = datetime(2024, 1, 1), random.Random(2)
+    rows, t = [], 0.0
+    for i in range(3000):
+        t += rng.choice([1, 5, 20, 70, 4000])
+        rows.append(("hot" if i % 3 else None, t0 + timedelta(seconds=t), i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i int")
+    got = {r["i"]: r["admitted"] for r in flows.admissions(df, "k", "ts", 60.0, 2, order="i").collect()}
+    for key in ("hot", None):
+        own = [r for r in rows if r[0] == key]
+        want, _ = flows.admit([(r[1] - t0).total_seconds() for r in own], [], 60.0, 2)
+        assert [got[r[2]] for r in own] == want
 
 
 def test_admission(spark):
@@ -76,7 +95,7 @@ def test_sources(spark, tmp_path):
         for i, p in enumerate(pages):
             (tmp_path / name / f"{i}").write_text(p)
     papers.register(spark)
-    read = lambda n: {r["paper_id"]: r for r in spark.read.format(n).option("query", "q").option("replay", str(tmp_path / n)).load().collect()}
+    read = lambda n: {r["paper_id"]: r for r in papers.search(spark, n, "q", replay=str(tmp_path / n)).collect()}
     e = read("europe_pmc")
     assert set(e) == {"10.1/x", "PMC3"} and e["10.1/x"]["title"] == "A b & c" and e["10.1/x"]["year"] == 2020 and e["PMC3"]["pdf_url"] == "u.pdf"
     p = read("pubmed")["PMC7"]
@@ -86,6 +105,53 @@ def test_sources(spark, tmp_path):
         papers.register(spark, "unknown")
 
 
+def test_replay_of_several_queries_and_pages(spark, tmp_path):
+    item = lambda i: {"title": f"t{i}", "doi": f"10.1/{i}", "abstractText": "x"}
+    page = lambda ids, cursor: json.dumps({"resultList": {"result": [item(i) for i in ids]}, "nextCursorMark": cursor})
+    for q, pages in enumerate([[page([1, 2], "b"), page([3], "b")], [page([4], "c"), page([5, 6], "d")]]):
+        (tmp_path / str(q)).mkdir()
+        for i, p in enumerate(pages):
+            (tmp_path / str(q) / str(i)).write_text(p)
+    assert tuples(papers.search(spark, "europe_pmc", "first\nsecond", limit=3, replay=str(tmp_path)), "doi") == [(f"10.1/{i}",) for i in range(1, 7)]
+
+
+def test_limits_and_fallbacks():
+    asked = []
+
+    def fetch(url, params):
+        asked.append((url, params))
+        if "offset" in params and params["offset"]:
+            raise papers.urllib.error.HTTPError(url, 500, "busy", {}, None)
+        return json.dumps({"data": [{"paperId": str(i), "openAccessPdf": {"url": "u"} if i % 2 else None} for i in range(6)], "next": 6}).encode()
+
+    assert len(list(papers.items(papers.SERVICES["semantic_scholar"], "q", 2, fetch))) == 2 and len(asked) == 1
+    assert len(list(papers.items(papers.SERVICES["semantic_scholar"], "q", 20, fetch))) == 3  # an error after the first page ends it
+
+
+def test_downloads(spark, tmp_path):
+    df = spark.createDataFrame([("a/b", "good"), ("c", "bad"), ("d", None), ("e", "none"), ("f", "good")], "paper_id string, pdf_url string")
+    (tmp_path / "f.pdf").write_bytes(b"%PDF" + b"x" * 2000)
+
+    def fetch(url):
+        if url == "none":
+            raise OSError("gone")
+        return b"%PDF-1" if url == "good" else b"<html>"
+
+    got = {r["paper_id"]: (r["path"], r["problem"]) for r in papers.download_pdfs(df, str(tmp_path), fetch).collect()}
+    assert got == {"a/b": (f"{tmp_path}/a_b.pdf", None), "c": (None, "no PDF"), "d": (None, "no address"), "e": (None, "not fetched: gone"), "f": (f"{tmp_path}/f.pdf", None)}
+    assert (tmp_path / "a_b.pdf").read_bytes() == b"%PDF-1" and (tmp_path / "f.pdf").stat().st_size == 2004
+
+
+def test_graph_object(spark, tmp_path):
+    nodes = spark.createDataFrame([("b", "Food"), ("a", "Gene"), ("c", "Other")], "name string, type string")
+    pairs = spark.createDataFrame([("b", "a", 2000), ("a", "c", None)], "u string, v string, year int")
+    files.write_graph_object(nodes, pairs, str(tmp_path / "o"))
+    (found,) = (tmp_path / "o").glob("part-*.json")
+    assert json.loads(found.read_text()) == {"names": ["a", "b", "c"], "types": ["Gene", "Food", "Other"], "pairs": [[0, 2], [1, 0]], "years": [None, 2000]}
+    n, p = files.read_graph_json(spark, str(found))
+    assert tuples(n) == tuples(nodes) and {tuple(r) for r in p.collect()} == {("a", "c", None), ("b", "a", 2000)}
+
+
 def test_graph_files(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "Gene"), ("b", "Food")], "name string, type string")
     pairs = spark.createDataFrame([("a", "b", 2000), ("b", "a", None)], "u string, v string, year int")
