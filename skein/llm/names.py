@@ -164,15 +164,34 @@ def agree(family_a: str, given_a: str, initials_a: str, formal_a: str, family_b:
     return more_a.startswith(more_b) or more_b.startswith(more_a)
 
 
-def _nodes(names: DataFrame, column: str) -> DataFrame:
+def _paired_givens(parts: DataFrame, least: int = 3, lift: float = 10.0) -> DataFrame:
+    """(given, formal): two given names that stand for each other, learned from who bears them.
+
+    Where a family name and further initials are met with exactly two given names, these are one person's more often
+    than chance has it if they are a name and its short form. Pairs met ``least`` times and ``lift`` times as often as
+    two such names at random are taken, the shorter one as the short form.
+    """
+    borne = parts.where("family <> '' and length(given) > 1 and length(initials) > 1").groupBy("family", F.expr("substring(initials, 2)").alias("more"))
+    pairs = cut(borne.agg(F.min("given").alias("g1"), F.max("given").alias("g2"), F.count_distinct("given").alias("n")).where("n = 2").groupBy("g1", "g2").agg(F.count("*").alias("n")))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    each = pairs.select(F.explode(F.array("g1", "g2")).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+    side = lambda g: each.select(F.col("g").alias(g), F.col("n").alias(f"n_{g}"))
+    often = pairs.where(F.col("n") >= least).join(side("g1"), "g1").join(side("g2"), "g2").where(F.col("n") * F.lit(total) >= lift * F.col("n_g1") * F.col("n_g2"))
+    first = F.length("g1") <= F.length("g2")
+    return often.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("given"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("formal"))
+
+
+def _nodes(names: DataFrame, column: str, listed: bool = True) -> DataFrame:
     """(name, family, given, initials, formal): every value with its parts."""
     spark = names.sparkSession
     shape = "struct<kind:string,family:string,given:string,initials:string,nick:string,words:string>"
     parsed = F.pandas_udf(lambda s: pd.DataFrame([parse(v) for v in s], columns=["kind", "family", "given", "initials", "nick", "words"]), shape)
     parts = cut(names.select(F.col(column).alias("name"), parsed(F.col(column)).alias("p")).select("name", "p.*"))
-    known = spark.createDataFrame(sorted(NICKNAMES.items()), "given string, formal string").select("given", F.explode(F.split("formal", " ")).alias("formal"))
+    known = spark.createDataFrame(sorted(NICKNAMES.items()) if listed else [], "given string, formal string").select("given", F.explode(F.split("formal", " ")).alias("formal"))
     learned = parts.where("nick <> '' and given <> ''").groupBy(F.col("nick").alias("given"), F.col("given").alias("formal")).count().drop("count")
-    nick = known.unionByName(learned.where("given <> formal")).distinct().groupBy("given").agg(F.array_join(F.sort_array(F.collect_set("formal")), " ").alias("formal"))
+    quoted = cut(known.unionByName(learned.where("given <> formal")).distinct())
+    together = lambda df: df.groupBy("given").agg(F.array_join(F.sort_array(F.collect_set("formal")), " ").alias("formal"))
+    nick = together(quoted)
     sure = parts.where("kind = 'sure' and length(given) > 1").groupBy("given").agg(F.count("*").alias("n"))
     lexicon = sure.unionByName(nick.select("given", F.lit(1).cast("bigint").alias("n"))).groupBy("given").agg(F.sum("n").alias("n"))
     letters = lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")
@@ -183,7 +202,8 @@ def _nodes(names: DataFrame, column: str) -> DataFrame:
     settled = F.pandas_udf(lambda a, x, y, z: pd.DataFrame([settle(*v) for v in zip(a, x, y, z)], columns=["family", "given", "initials"]), "struct<family:string,given:string,initials:string>")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     resolved = doubt.select("name", settled("words", zero("n_w1"), zero("n_w2"), zero("n_w9")).alias("p")).select("name", "p.family", "p.given", "p.initials")
-    every = parts.where("kind <> 'doubt'").select("name", "family", "given", "initials").unionByName(resolved)
+    every = cut(parts.where("kind <> 'doubt'").select("name", "family", "given", "initials").unionByName(resolved))
+    nick = together(quoted.unionByName(_paired_givens(every)))
     return every.join(nick, "given", "left").withColumn("formal", F.coalesce("formal", F.lit("")))
 
 
@@ -268,15 +288,16 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     return by_given.unionByName(by_initials).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def variants(df: DataFrame, column: str, most: int = MOST) -> DataFrame:
+def variants(df: DataFrame, column: str, most: int = MOST, listed: bool = True) -> DataFrame:
     """``(name, entity)``: every distinct value of ``column`` with the entity that it names.
 
     Null and blank values name nothing and give no row; repeated values count once; values that fit no other are
     entities of their own; an empty table gives none. An initial alone that would fit persons of different middle
-    initials under one family name links none of them.
+    initials under one family name links none of them. Short forms of given names are learned from quoted ones and from
+    who bears them; without ``listed`` the list of common ones plays no part.
     """
     names = cut(df.select(F.col(column).alias("name")).where(F.trim("name") != "").distinct())
-    found = _nodes(names, "name").withColumn("node", F.xxhash64("family", "given", "initials"))
+    found = _nodes(names, "name", listed).withColumn("node", F.xxhash64("family", "given", "initials"))
     found = cut(found)
     nodes = found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("family", "given", "initials", "formal")])
     first = F.substring("initials", 1, 1)

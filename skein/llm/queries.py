@@ -23,16 +23,19 @@ from skein.session import cut, table
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts; Arrow batches hold fewer rows than by default, because single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(2000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
-    return table(spark, sf_dir, name)
+def batched(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """A session like the caller's in which Arrow batches hold at most ``rows`` rows, because single texts may be long."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    held = int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, held) if held > 0 else rows))
+    return own
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all long abstracts and parsed documents."""
-    abstracts = texts(spark, sf_dir, "paper_records").select(F.lit("abstract").alias("item"), F.col("rec_id").alias("item_id"), F.col("abstract").alias("text"))
-    parsed = texts(spark, sf_dir, "parsed_documents").select(F.lit("markdown").alias("item"), F.col("parsed_id").alias("item_id"), F.col("markdown").alias("text"))
+    spark = batched(spark)
+    abstracts = table(spark, sf_dir, "paper_records").select(F.lit("abstract").alias("item"), F.col("rec_id").alias("item_id"), F.col("abstract").alias("text"))
+    parsed = table(spark, sf_dir, "parsed_documents").select(F.lit("markdown").alias("item"), F.col("parsed_id").alias("item_id"), F.col("markdown").alias("text"))
     both = split_texts(abstracts, "text").unionByName(split_texts(parsed, "text"))
     return both.select("item", "item_id", "piece", "from_char", "to_char", "piece_text")
 
@@ -44,12 +47,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose abstract was cut off."""
-    return truncated(texts(spark, sf_dir, "paper_records").select("rec_id", "abstract"), "rec_id", "abstract").where("cut").select("rec_id")
+    spark = batched(spark)
+    return truncated(table(spark, sf_dir, "paper_records").select("rec_id", "abstract"), "rec_id", "abstract").where("cut").select("rec_id")
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each source's non-empty abstracts that are cut."""
-    records = texts(spark, sf_dir, "paper_records").select("rec_id", "source", "abstract")
+    spark = batched(spark)
+    records = table(spark, sf_dir, "paper_records").select("rec_id", "source", "abstract")
     judged = truncated(records, "rec_id", "abstract")
     counts = judged.join(records.select("rec_id", "source"), "rec_id").groupBy("source").agg(F.count("*").alias("abstracts"), F.count_if("cut").alias("cut"))
     return counts.withColumn("share", F.round(F.col("cut") / F.col("abstracts"), 6))
@@ -57,7 +62,8 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of spellings of one author or group."""
-    authors = unpack_rows(texts(spark, sf_dir, "paper_records").select("authors"), "authors", value="author").select("author")
+    spark = batched(spark)
+    authors = unpack_rows(table(spark, sf_dir, "paper_records").select("authors"), "authors", value="author").select("author")
     return variant_pairs(variants(authors, "author"))
 
 
@@ -85,7 +91,8 @@ def paper_groups(records: DataFrame) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of every paper with two or more records."""
-    records = texts(spark, sf_dir, "paper_records")
+    spark = batched(spark)
+    records = table(spark, sf_dir, "paper_records")
     sources = table(spark, sf_dir, "sources").select("source", F.col("trust").cast("int").alias("trust"))
     groups = paper_groups(records.select("rec_id", "doi", "pmcid", "pmid", "title", "year"))
     slim = records.select("rec_id", bib.doi(F.col("doi")).alias("doi"), bib.pmcid(F.col("pmcid")).alias("pmcid"), "source", "fetched_at", F.char_length(bib.own_text(F.col("abstract"))).alias("own"))
@@ -105,8 +112,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most trusted consistent identifiers of every title and year: a DOI's PMCID and PMID must stand in a record with it."""
+    spark = batched(spark)
     sources = table(spark, sf_dir, "sources").select("source", (10 - F.col("trust")).alias("worth"))
-    records = texts(spark, sf_dir, "paper_records").where("title is not null and year is not null").join(sources, "source", "left")
+    records = table(spark, sf_dir, "paper_records").where("title is not null and year is not null").join(sources, "source", "left")
     some = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     rows = records.select(F.lower("title").alias("title"), "year", *[some(c).alias(c) for c in ("doi", "pmcid", "pmid", "journal")], F.coalesce("worth", F.lit(0)).alias("worth"))
     bundles = [Bundle(c, (c,), F.col(c).isNotNull(), (), F.col("worth")) for c in ("doi", "pmcid", "pmid", "journal")]
@@ -115,7 +123,8 @@ def p5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in containers of 2,048 tokens."""
-    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    spark = batched(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sizes = docs.select("doc_id", token_count(F.col("text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").alias("tokens"))
     return fill_containers(sizes, "doc_id", "tokens", capacity=2048)
 
@@ -127,19 +136,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the share of the item's words that is held, and whether its answer stands behind them."""
-    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    spark = batched(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "eval_items").select("item_id", "text", "answer")
     return leaks(docs, items, "doc_id", "text", "item_id", "text", "answer").withColumn("overlap", F.round("overlap", 6))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of each document that other documents hold word for word."""
-    return shared_runs(texts(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    spark = batched(spark)
+    return shared_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document with shared stretches is shared elsewhere."""
-    docs = texts(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n"))
+    spark = batched(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n"))
     shared = p8_found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("runs"), F.sum(F.col("to_char") - F.col("from_char")).alias("shared_chars"))
     return shared.join(docs, "doc_id").select("doc_id", "runs", "shared_chars", F.round(F.col("shared_chars") / F.col("n"), 6).alias("share"))
 

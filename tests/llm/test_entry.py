@@ -16,8 +16,10 @@ COLUMNS = {
 def test_query(spark, name):
     if name.startswith("p6") and not os.path.isdir(Q.TOKENIZERS):
         pytest.skip("no tokenizer files")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     df = Q.QUERIES[name](spark, DATA)
     got = df.collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
     if name in COLUMNS:
         assert df.columns == COLUMNS[name] and len(set(got)) == len(got)
 

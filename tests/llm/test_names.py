@@ -124,3 +124,17 @@ def test_candidates_are_all_that_agree_and_few_of_a_hot_family(spark):
     parts = lambda r: (r["family"], r["given"], r["initials"], r["formal"])
     want = {tuple(sorted((a["node"], b["node"]))) for a, b in itertools.combinations(rows, 2) if a["family"] and b["family"] and agree(*parts(a), *parts(b))}
     assert want <= met and len(met) < 40 * len(rows)
+
+
+def test_short_forms_learned_from_who_bears_them(spark):
+    rng = random.Random(12)
+    family = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)).capitalize()
+    names, want = [], set()
+    for i in range(12):
+        f, m = family(), "BCDE"[i % 4]
+        pair = (f"Quorvin {m}. {f}", f"Zat {m}. {f}") if i < 6 else (f"{'Ulmora Ferdin Gaspari Hildun Jorvek Korlan'.split()[i - 6]} {m}. {f}", f"{'Abenz Dovri Elgun Wexto Yurno Brilm'.split()[i - 6]} {m}. {f}")
+        names += pair
+        if i < 6:
+            want.add(tuple(sorted(pair)))
+    # The first pair of names is met six times, each of the others once.
+    assert found(spark, names) == want
