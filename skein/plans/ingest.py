@@ -12,6 +12,9 @@ from skein.operators import entities as E
 from skein.operators import extraction as X
 from skein.operators import graph as G
 from skein.session import cut
+from skein.settings import Settings
+
+_D = Settings()
 
 
 def pending(papers: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:
@@ -19,7 +22,7 @@ def pending(papers: DataFrame, processed: DataFrame, force: bool = False) -> Dat
     return papers if force else papers.join(processed.select("paper_id"), "paper_id", "left_anti")
 
 
-def chunk_papers(papers: DataFrame, limit: int = 2500, overlap: int = 250, most: int | None = 30) -> DataFrame:
+def chunk_papers(papers: DataFrame, limit: int = _D.chunk_chars, overlap: int = _D.chunk_overlap, most: int | None = _D.max_chunks) -> DataFrame:
     """(paper_id, title, index, section, text) of papers (paper_id, title, text); short texts give one abstract chunk."""
     found = papers.withColumn("chunks", T.build_chunks(limit, overlap, most)(F.col("text")))
     whole = F.array(F.struct(F.lit(0).alias("index"), F.lit("abstract").alias("section"), F.col("text").alias("text")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    """Values that callers may replace; nothing reads the environment."""
+    """Defaults of ingest, snapshots and admission; callers pass other values as arguments. Nothing reads the environment."""
 
     chunk_chars: int = 2500
     chunk_overlap: int = 250

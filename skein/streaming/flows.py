@@ -13,6 +13,9 @@ from pyspark.sql.types import StructType
 
 from skein.operators import graph as G
 from skein.session import cut
+from skein.settings import Settings
+
+_D = Settings()
 
 
 def landing(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -87,7 +90,7 @@ def admit(times: list[float], held: list[float], window: float, limit: int) -> t
     return out, held
 
 
-def admissions(events: DataFrame, key: str, ts: str, window: float = 60.0, limit: int = 30, order: str | None = None) -> DataFrame:
+def admissions(events: DataFrame, key: str, ts: str, window: float = _D.rate_window, limit: int = _D.rate_limit, order: str | None = None) -> DataFrame:
     """``events`` with ``admitted``, per key in time order.
 
     Keys are split where a gap longer than the window empties it, so that a hot key's history is folded in parts that
@@ -129,7 +132,7 @@ def admissions(events: DataFrame, key: str, ts: str, window: float = 60.0, limit
     return ordered.mapInPandas(fold, StructType(events.schema.fields).add("admitted", "boolean"))
 
 
-def admission_stream(events: DataFrame, key: str, ts: str, window: float = 60.0, limit: int = 30) -> DataFrame:
+def admission_stream(events: DataFrame, key: str, ts: str, window: float = _D.rate_window, limit: int = _D.rate_limit) -> DataFrame:
     """The same over a stream (key, ts): state per key is the list of admitted times, at most ``limit`` of them."""
     kind = events.schema[key].dataType.simpleString()
 
@@ -146,7 +149,7 @@ def admission_stream(events: DataFrame, key: str, ts: str, window: float = 60.0,
 class Versioned:
     """A snapshot that is rebuilt when its source changed or it is older than ``ttl`` seconds."""
 
-    def __init__(self, build: Callable[[], object], version: Callable[[], int], ttl: float = 300.0, clock: Callable[[], float] | None = None) -> None:
+    def __init__(self, build: Callable[[], object], version: Callable[[], int], ttl: float = _D.snapshot_ttl, clock: Callable[[], float] | None = None) -> None:
         import time
 
         self.build, self.version, self.ttl, self.clock = build, version, ttl, clock or time.time

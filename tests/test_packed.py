@@ -68,3 +68,14 @@ def test_pathological_texts_end_soon(spark):
     for k, value in tuples(unpack_rows(df, "packed").select("k", "value")):
         got.setdefault(k, []).append(value)
     assert 0 not in got and got[2] == ["x" * n] and got[9] == ["x"] and got[6] == ['"' * n]
+
+
+def test_parts_of_any_length(spark):
+    long, initials = "X" + "x" * 20_000, "A. " * 5_000
+    texts = [f"{long}, B. C.; Ddd E", f"Aaaa, {initials}", f"{long} {long}, {long}", "van " * 5_000 + "Aaaa, B.", "a " * 10_000 + ", B.", "Aaaa," + " " * 50_000 + "B."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in unpack_rows(df, "t").orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    assert got[0] == [f"{long}, B. C.", "Ddd E"] and got[1] == [f"Aaaa, {initials.strip()}"] and got[2] == [f"{long} {long}, {long}"]
+    assert got[3] == [("van " * 5_000 + "Aaaa, B.")] and got[4] == ["a " * 9_999 + "a", "B"] and got[5] == ["Aaaa," + " " * 50_000 + "B."]
