@@ -19,7 +19,7 @@ MARK_OF_A_CUT = r"(?:\.{3,}+|…|[\[(](?i:(?:abstract )?truncated|more|cut|conti
 #: A notice holds no full stop but those inside numbers, addresses and after initials.
 NOTICE = rf"{OPENERS}(?:[^.!?]|\.(?=[^\s.…])|(?<=\b\p{{Lu}})\.)*+[.!?]?+"
 #: Notices and marks, in any number and order, that close a sentence or are all of it.
-CLOSING = rf"(?:(?:(?:^|\s){NOTICE}|\s?{MARK_OF_A_CUT})\s*+)++$"
+CLOSING = rf"(?:(?:(?:^|\s|(?<=\s)){NOTICE}|\s?{MARK_OF_A_CUT})\s*+)++$"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -101,4 +101,5 @@ def opened(plain: Column) -> Column:
 
 def own_text(abstract: Column) -> Column:
     """The abstract's own text: without mark-up, entities, spacing, marks of a cut and publisher notices."""
-    return F.regexp_replace(F.array_join(opened(plain_text(abstract)).getField("sentences"), " "), r"\s+|[<&][#/]?\p{L}*$", "")
+    own = F.regexp_replace(F.array_join(opened(plain_text(abstract)).getField("sentences"), " "), r"\s+|[<&][#/]?\p{L}*$", "")
+    return F.when(abstract.isNotNull(), own)

@@ -130,9 +130,10 @@ def test_short_forms_learned_from_who_bears_them(spark):
     rng = random.Random(12)
     family = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)).capitalize()
     names, want = [], set()
-    for i in range(12):
+    for i in range(80):
         f, m = family(), "BCDE"[i % 4]
-        pair = (f"Quorvin {m}. {f}", f"Zat {m}. {f}") if i < 6 else (f"{'Ulmora Ferdin Gaspari Hildun Jorvek Korlan'.split()[i - 6]} {m}. {f}", f"{'Abenz Dovri Elgun Wexto Yurno Brilm'.split()[i - 6]} {m}. {f}")
+        first, second = ("Quorvin", "Zat") if i < 6 else (family(), family())
+        pair = (f"{first} {m}. {f}", f"{second} {m}. {f}")
         names += pair
         if i < 6:
             want.add(tuple(sorted(pair)))
