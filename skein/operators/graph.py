@@ -434,8 +434,11 @@ def induced_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
 def auc_ap(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(auc, ap): area under the ROC curve by ranks, ties shared, and average precision over distinct scores."""
     by = scored.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label).cast("double")).alias("n"))
-    by = cut(by.withColumn("bucket", F.floor(F.col("s") * 1024)))
-    # Running sums inside score ranges, plus the totals of the ranges below or above.
+    by = cut(by)
+    low, high = by.agg(F.min("s"), F.max("s")).first()
+    width = (high - low) / 1024 if low is not None and high > low else 1.0
+    by = by.withColumn("bucket", F.floor((F.col("s") - F.lit(low or 0.0)) / width))
+    # Running sums inside 1,024 ranges of scores, plus the totals of the ranges below or above.
     totals = by.groupBy("bucket").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     low, high = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
