@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,11 @@ BANDS, ROWS = 6, 4
 PREFIX_BANDS, PREFIX_ROWS, PREFIX = 2, 4, 16
 #: Weight of the prior in the estimates, in observations.
 PRIOR = 4.0
-_WORD = re.compile(r"[^\W_]+")
+#: Signs beyond ASCII that no word holds; ASCII letters and digits, and bytes beyond ASCII, as they are, all others as spaces.
+_SIGNS = re.compile(r"[^\x00-\x7f\w]")
+_SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Words whose bands are taken at once.
+GROUP = 4096
 #: Unfinished mark-up or entity at the end of a text.
 BROKEN = r"(?:<[/A-Za-z][^<>]*|</?|(?:^|[\s\d])&#?[A-Za-z0-9]*)$"
 #: What closing matter looks like: in brackets, or a label and a colon.
@@ -44,37 +49,54 @@ CLOSING_FORM = r"^\(.*\)$|^[^.:]{2,40}:\s\S"
 JOINING = r"[-–—,;:(\[/&+=]$"
 TERMINATED = r"[.!?][\"'”’)\]]*$"
 _TERMINATED = re.compile(TERMINATED)
-#: Words that end a sentence: a full stop, and a capital or bracket after it; and the whole parts of decimals.
-_ENDS = re.compile(r"[^\s]*[.!?][\"'”’)\]]*(?=\s+[A-ZÀ-Þ(\[])")
-_DECIMAL = re.compile(r"(?<!\S)[(\[]?(\d+\.)\d")
-
-
-def shingles(text: str, cache: dict[str, int]) -> np.ndarray:
-    """Hashes of a text's runs of five words, in order; of fewer words, one hash over all."""
-    import xxhash
-
-    ids = []
-    for w in _WORD.findall(text.lower()):
-        h = cache.get(w)
-        if h is None:
-            if len(cache) > 1_000_000:
-                cache.clear()
-            h = cache[w] = xxhash.xxh64_intdigest(w)
-        ids.append(h)
-    if not ids:
-        return np.zeros(0, np.uint64)
-    x = np.array(ids, np.uint64)
-    n = max(1, len(x) - SHINGLE + 1)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(SHINGLE, len(x))):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n]
-        out ^= out >> np.uint64(31)
-    return out
+#: What a terminated word may end with, and what the word after a sentence begins with; the whole part of a decimal.
+_STOPS = frozenset(".!?\"'”’)]")
+_NEXT = frozenset(map(chr, [*range(ord("A"), ord("Z") + 1), *range(ord("À"), ord("Þ") + 1), ord("("), ord("[")]))
+_DECIMAL = re.compile(r"[(\[]?(\d+\.)\d")
+_DIGIT, _CAPITAL, _SMALL = re.compile(r"\d"), re.compile("[A-ZÀ-Þ]"), re.compile(r"[^\W\d_A-ZÀ-Þ]+")
+
+
+class Hashes(dict):
+    """Hashes of words, each taken when it is first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def words(text: str) -> list[bytes]:
+    """A text's words in small letters."""
+    low = text.lower()
+    if not low.isascii():
+        low = _SIGNS.sub(" ", low)
+    return low.encode().translate(_SPACED).split()
+
+
+def shingles(texts: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of five words of texts with words, text by text in order, and how many each has; of fewer words, one hash over all."""
+    counts = np.array([len(t) for t in texts])
+    starts, total = np.cumsum(counts) - counts, int(counts.sum())
+    x = np.zeros(total + SHINGLE - 1, np.uint64)
+    x[:total] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, total)
+    out, few = x[:total].copy(), []
+    for k in range(1, SHINGLE):
+        short = starts[counts == k]
+        few.append((short, out[short]))
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += x[k : k + total]
+    for short, h in few:
+        out[short] = h
+    out ^= out >> np.uint64(31)
+    n = np.maximum(counts - SHINGLE + 1, 1)
+    return out[np.arange(total) < np.repeat(starts + n, counts)], n
 
 
 class Bands:
-    """Min-hash bands of a text's shingles: those of the whole, then those of each beginning."""
+    """Min-hash bands of texts' shingles: those of the whole, and those of each beginning."""
 
     def __init__(self) -> None:
         rng = np.random.default_rng(20240501)
@@ -83,30 +105,42 @@ class Bands:
         self.b = rng.integers(0, 2**63, (n, 1), dtype=np.uint64)
         self.mix = rng.integers(1, 2**63, max(ROWS, PREFIX_ROWS), dtype=np.uint64) | np.uint64(1)
 
-    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, whether the text asks under them)."""
-        with np.errstate(over="ignore"):
-            low = (s[None, :] * self.a + self.b) >> np.uint64(11)
-            whole = (low.min(axis=1)[: BANDS * ROWS].reshape(BANDS, ROWS) * self.mix[:ROWS]).sum(axis=1, dtype=np.uint64)
-            keys = [whole * np.uint64(0xD6E8FEB86659FD93) & ~np.uint64(255) | np.arange(BANDS, dtype=np.uint64)]
-            words, ends = PREFIX, []
-            while words <= len(s) + SHINGLE - 1:
-                ends.append(words - SHINGLE + 1)
-                words *= 2
-            if ends:
-                part = low[: PREFIX_BANDS * PREFIX_ROWS, : ends[-1]]
-                least = np.minimum.accumulate(np.minimum.reduceat(part, [0, *ends[:-1]], axis=1), axis=1)
-                for level in range(len(ends)):
-                    h = (least[:, level].reshape(PREFIX_BANDS, PREFIX_ROWS) * self.mix[:PREFIX_ROWS]).sum(axis=1, dtype=np.uint64)
-                    keys.append(h * np.uint64(0xD6E8FEB86659FD93) & ~np.uint64(255) | np.arange(PREFIX_BANDS, dtype=np.uint64) + np.uint64(32 + 4 * level))
-        asks = np.ones(sum(map(len, keys)), bool)
-        asks[BANDS : len(asks) - PREFIX_BANDS] = False
-        return np.concatenate(keys), asks
+    def _keys(self, least: np.ndarray, bands: int, rows: int, marks: np.ndarray) -> np.ndarray:
+        """Buckets by band and the further axes of ``least``; the lowest byte is the band's mark."""
+        h = np.tensordot(self.mix[:rows], least.reshape(bands, rows, *least.shape[1:]), (0, 1))
+        return h * np.uint64(0xD6E8FEB86659FD93) & ~np.uint64(255) | marks
+
+    def of(self, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets, places of their texts, whether the text asks under them) of texts that have ``n`` shingles each, together ``s``."""
+        ends = [0]  # of the beginnings, in shingles
+        while (end := (PREFIX << len(ends) - 1) - SHINGLE + 1) <= n.max():
+            ends.append(end)
+        offsets, levels = np.array(ends), len(ends) - 1
+        low = s * self.a
+        low += self.b
+        low >>= np.uint64(11)
+        inside = offsets < n[:, None]
+        parts = np.full((len(low), *inside.shape), np.iinfo(np.uint64).max, np.uint64)
+        parts[:, inside] = np.minimum.reduceat(low, (np.cumsum(n)[:, None] - n[:, None] + offsets)[inside], axis=1)
+        whole = self._keys(parts[: BANDS * ROWS].min(axis=2), BANDS, ROWS, np.arange(BANDS, dtype=np.uint64)[:, None])
+        least = np.minimum.accumulate(parts[: PREFIX_BANDS * PREFIX_ROWS, :, :levels], axis=2)
+        marks = np.arange(PREFIX_BANDS, dtype=np.uint64)[:, None, None] + np.arange(32, 32 + 4 * levels, 4, dtype=np.uint64)
+        beginnings = self._keys(least, PREFIX_BANDS, PREFIX_ROWS, marks)
+        held = offsets[1:] <= n[:, None]
+        place, level = np.nonzero(held)
+        longest = level == held.sum(axis=1)[place] - 1
+        return (
+            np.concatenate([whole.ravel(), beginnings[:, held].ravel()]),
+            np.concatenate([np.tile(np.arange(len(n)), BANDS), np.tile(place, PREFIX_BANDS)]),
+            np.concatenate([np.ones(whole.size, bool), np.tile(longest, PREFIX_BANDS)]),
+        )
 
 
 def shape(token: str) -> str:
     """A token's form: digits, capitals and runs of small letters each as one sign."""
-    return re.sub("[^\\W\\d_A-ZÀ-Þ]+", "a", re.sub("[A-ZÀ-Þ]", "A", re.sub(r"\d", "9", token)))
+    if token.isascii() and token.isalpha() and token.islower():
+        return "a"
+    return _SMALL.sub("a", _CAPITAL.sub("A", _DIGIT.sub("9", token)))
 
 
 def _scan(texts: DataFrame) -> DataFrame:
@@ -121,18 +155,20 @@ def _scan(texts: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        cache: dict[str, int] = {}
-        bands, h64 = Bands(), lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)
+        hashes, bands, h64 = Hashes(), Bands(), lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)
         every: Counter[str] = Counter()
         ends: Counter[str] = Counter()
         met: set[int] = set()
-        empty = np.zeros(0, np.int64)
 
         def frame(kind: int, a, b, c=None, d=None, e=None, flag=None) -> pd.DataFrame:
             zero = np.zeros(len(a), np.int64)
             rest = {n: zero if x is None else x for n, x in zip("cde", (c, d, e))}
             return pd.DataFrame({"kind": kind, "a": a, "b": b, **rest, "flag": zero.astype(bool) if flag is None else flag})
 
+        def banded(group: list[list[bytes]], codes: list[int]) -> tuple[np.ndarray, ...]:
+            buckets, place, asks = bands.of(*shingles(group, hashes))
+            return buckets.view(np.int64), np.array(codes, np.int64)[place], asks
+
         def counted() -> pd.DataFrame:
             tally: dict[str, list[int]] = {}
             for w, n in every.items():
@@ -146,21 +182,20 @@ def _scan(texts: DataFrame) -> DataFrame:
             return frame(1, np.array([h64(w) for w in tally], np.int64), np.array([t[0] for t in tally.values()], np.int64), np.array([t[1] for t in tally.values()], np.int64))
 
         for batch in batches:
-            found, codes, counts, asking, closing = [empty.view(np.uint64)], [], [], [empty.astype(bool)], []
+            found, group, codes, size, closing = [], [], [], 0, []
             for k, t in zip(batch["k"], batch["t"]):
                 tokens = t.split()
                 if not tokens:
                     continue
                 last = tokens[-1]
+                ends.update([w for w, x in pairwise(tokens) if w[-1] in _STOPS and x[0] in _NEXT and _TERMINATED.search(w)])
+                every.update([m[1] for w in tokens if "." in w and (m := _DECIMAL.match(w))])
                 stop = bool(_TERMINATED.search(last))
                 if stop:
                     tokens.pop()  # a closing full stop proves nothing
                 else:
                     ends[last] += 1
                 every.update(tokens)
-                ends.update(_ENDS.findall(t))
-                if "." in t:
-                    every.update(_DECIMAL.findall(t))
                 digest = xxhash.xxh64_intdigest(t)
                 code = min(len(t), (1 << 24) - 1) << 39 | digest >> 25
                 closing.append((k, h64(f"w{last}"), h64(f"s{shape(last)}"), code, digest - (1 << 63), stop))
@@ -169,14 +204,18 @@ def _scan(texts: DataFrame) -> DataFrame:
                 if len(met) > 2_000_000:
                     met.clear()
                 met.add(digest)
-                s = shingles(t, cache)
-                if len(s):
-                    buckets, asks = bands.of(s)
-                    found.append(buckets)
-                    asking.append(asks)
+                if w := words(t):
+                    group.append(w)
                     codes.append(code)
-                    counts.append(len(buckets))
-            yield frame(0, np.concatenate(found).view(np.int64), np.repeat(np.array(codes, np.int64), np.array(counts, np.int64)), flag=np.concatenate(asking))
+                    size += len(w)
+                if size > GROUP:
+                    found.append(banded(group, codes))
+                    group, codes, size = [], [], 0
+            if group:
+                found.append(banded(group, codes))
+            if found:
+                buckets, coded, asks = map(np.concatenate, zip(*found))
+                yield frame(0, buckets, coded, flag=asks)
             if closing:
                 *columns, stops = zip(*closing)
                 a, b, c, d, e = (np.array(x, np.int64) for x in columns)

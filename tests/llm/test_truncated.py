@@ -1,6 +1,9 @@
 import random
+import time
 
-from skein.llm.truncated import align, truncated
+import numpy as np
+
+from skein.llm.truncated import BANDS, PREFIX_BANDS, Bands, Hashes, _scan, align, shingles, truncated, words
 
 SENTENCES = [f"Sample {i} of the group was read by method {i % 7} and gave a value of {i * 3}." for i in range(40)]
 FULL = [" ".join(SENTENCES[i : i + 8]) for i in range(0, 32)]
@@ -98,3 +101,26 @@ def test_closing_words_with_a_full_stop(spark):
     cut = [f"{sentence(rng)} {sentence(rng)[:-1]} by Doe et al.", f"{sentence(rng)} {sentence(rng)[:-1]} in 24."]
     got = reasons(spark, texts + cut)
     assert all(got[i] is None for i in range(40)) and got[40] == got[41] == "closing"
+
+
+def test_bands_of_many_texts_at_once_are_those_of_each(spark):
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randint(0, 30)) for _ in range(n)) for n in (1, 2, 4, 5, 15, 16, 17, 31, 32, 33, 300, 64, 3)]
+    taken = [words(t) for t in texts]
+    s, n = shingles(taken, Hashes())
+    buckets, place, asks = Bands().of(s, n)
+    for i, t in enumerate(taken):
+        one, m = shingles([t], Hashes())
+        alone, _, asking = Bands().of(one, m)
+        assert m[0] == n[i] == max(1, len(t) - 4) and np.array_equal(one, s[n[:i].sum() :][: n[i]])
+        assert sorted(zip(alone, asking)) == sorted(zip(buckets[place == i], asks[place == i]))
+        levels = sum(16 << k <= len(t) for k in range(9))
+        assert len(alone) == BANDS + PREFIX_BANDS * levels and asking.sum() == BANDS + PREFIX_BANDS * (levels > 0)
+    assert words("Σ_a·b İ x-1 中文 É.") == [x.encode() for x in ("σ", "a", "b", "i", "x", "1", "中文", "é")]
+
+
+def test_one_long_word_takes_no_square_time(spark):
+    df = spark.createDataFrame([(1, "a" * 60_000 + " B."), (2, "It ends. 2.5 (3.1 of. A")], "k long, body string")
+    began = time.monotonic()
+    rows = _scan(df).where("kind = 1").collect()
+    assert time.monotonic() - began < 15 and [sum(r[x] for r in rows) for x in "bc"] == [4, 14]
