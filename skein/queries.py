@@ -586,8 +586,10 @@ def search_papers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.ROWS + _PATHS + " SELECT rank::INTEGER AS rank, (i - 1)::INTEGER AS i, source, type, target, round(confidence, 6) AS confidence, support FROM walk")
 def bridge_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Steps of the cheapest paths between two entities."""
-    return R.bridge(snapshot(spark, sf), SEED, OTHER, hops=4)["steps"].select("rank", "i", "source", "type", "target", F.round("confidence", 6).alias("confidence"), "support")
+    """Steps of the cheapest paths between two entities; none if either is unknown, and never those of a name that is only near."""
+    e = cut(edges(spark, sf))
+    steps = R.path_steps(e, cut(G.shortest_paths(e, SEED, OTHER, k=3, max_hops=4)))
+    return steps.select("rank", "i", "source", "type", "target", F.round("confidence", 6).alias("confidence"), "support")
 
 
 @query()
