@@ -290,11 +290,12 @@ def materialize_predictions(adj: DataFrame, top_k: int = 5, min_score: float = 0
     return top_predictions(adamic_adar(adj, hubs(adj, max_nodes)), top_k, min_score).select("source", "target", "score", "method")
 
 
-def pagerank(adj: DataFrame, nodes: DataFrame, seeds: dict[str, float], damping: float = 0.85, steps: int | None = None, tol: float = 1e-9, most: int = 200) -> DataFrame:
+def pagerank(adj: DataFrame, nodes: DataFrame, seeds: dict[str, float], damping: float = 0.85, steps: int | None = None, tol: float = 1e-9, most: int = 200, missing_ok: bool = False) -> DataFrame:
     """(name, ppr): personalised PageRank over the strength-weighted graph, mass sums to 1.
 
     ``steps`` runs a fixed number of rounds; else rounds go on until the change is below ``tol``. The mass of nodes
     without links returns to the seeds. Every round's masses are written, so a round reads the one before and no more.
+    Where no seed is in the graph there is no mass: an error, or 0 for every node if that is ``missing_ok``.
     """
     spark = adj.sparkSession
     total = sum(seeds.values())
@@ -303,6 +304,8 @@ def pagerank(adj: DataFrame, nodes: DataFrame, seeds: dict[str, float], damping:
     move = cut(adj.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("m")))
     base = cut(nodes.select("name").distinct().join(F.broadcast(e), "name", "left").join(out.select(F.col("src").alias("name"), F.lit(True).alias("linked")), "name", "left").select("name", F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("linked", F.lit(False)).alias("linked")))
     if base.where("e > 0").limit(1).count() == 0:
+        if missing_ok:
+            return base.select("name", F.lit(0.0).alias("ppr"))
         raise KeyError("none of the seeds is in the graph")
     p = base.withColumn("p", F.col("e"))
     for _ in range(steps if steps is not None else most):

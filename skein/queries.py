@@ -350,10 +350,10 @@ def predicted_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.pagerank_sql(SEED, 6))
 def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """Personalised PageRank after six rounds."""
+    """Personalised PageRank after six rounds; 0 for all nodes if the entity is unknown."""
     adj = cut(adjacency(spark, sf))
     nodes = adj.select(F.col("src").alias("name")).union(table(spark, sf, "entities").select("name"))
-    return G.pagerank(adj, nodes, {SEED: 1.0}, steps=6).select("name", F.round("ppr", 8).alias("ppr"))
+    return G.pagerank(adj, nodes, {SEED: 1.0}, steps=6, missing_ok=True).select("name", F.round("ppr", 8).alias("ppr"))
 
 
 @query()

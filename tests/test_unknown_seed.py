@@ -32,3 +32,10 @@ def test_bridge_steps(spark, without):
     want, columns = by_sql("bridge_steps", without)
     df = core.QUERIES["bridge_steps"](spark, without)
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == want == []
+
+
+def test_pagerank_fixed(spark, without):
+    want, columns = by_sql("pagerank_fixed", without)
+    df = core.QUERIES["pagerank_fixed"](spark, without)
+    got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+    assert got == want and len(got) > 100
