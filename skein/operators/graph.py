@@ -349,25 +349,35 @@ def grow(adj: list[tuple[str, str]], ppr: dict[str, float], seed: str, top_k: in
     return [(n, h, p) for n, (h, p) in picked.items()]
 
 
+#: Columns of a connected subgraph.
+SUBGRAPH = "name string, hop int, parent string, ppr double"
+
+
 def local_subgraph(adj: DataFrame, nodes: DataFrame, seed: str, top_k: int = 20, hops: int = 3, steps: int | None = None) -> DataFrame:
     """(name, hop, parent, ppr): the connected subgraph of the ``top_k`` most relevant nodes around a seed.
 
     From any node no more than its ``top_k + 1`` best neighbours can be picked, so each level is expanded by those
-    only and the last, sequential step reads at most (top_k + 1) ** hops rows, whatever the graph's size.
+    only and the last, sequential step reads at most (top_k + 1) ** hops rows, whatever the graph's size. A seed without
+    links is alone; one that is not among the nodes has no subgraph.
     """
+    spark = adj.sparkSession
+    if nodes.where(F.col("name") == seed).limit(1).count() == 0:
+        return spark.createDataFrame([], SUBGRAPH)
     rank = cut(pagerank(adj, nodes, {seed: 1.0}, steps=steps))
-    rim, done, rows = adj.sparkSession.createDataFrame([(seed,)], "src string"), None, None
+    rim, done = spark.createDataFrame([(seed,)], "src string"), None
+    rows = spark.createDataFrame([(seed, None, None)], "src string, dst string, ppr double")
     order = Window.partitionBy("src").orderBy(F.desc("ppr"), "dst")
     for _ in range(hops):
         near = adj.join(rim, "src", "left_semi").join(rank.select(F.col("name").alias("dst"), "ppr"), "dst")
         near = cut(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k + 1).select("src", "dst", "ppr"))
-        rows = near if rows is None else rows.unionByName(near)
+        rows = rows.unionByName(near)
         done = rim if done is None else done.unionByName(rim)
         rim = near.select(F.col("dst").alias("src")).distinct().join(done, "src", "left_anti")
 
     def pick(pdf):
         import pandas as pd
 
+        pdf = pdf.dropna(subset=["dst"])
         found = grow(list(zip(pdf["src"], pdf["dst"])), dict(zip(pdf["dst"], pdf["ppr"])), seed, top_k, hops)
         return pd.DataFrame(found, columns=["name", "hop", "parent"])
 

@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 from skein import queries as core
+from skein.operators import graph as G
+from skein.plans import retrieval as R
+from tests.conftest import tuples
 from tests.test_entry import DATA, needs_data
 
 pytestmark = needs_data
@@ -39,3 +42,12 @@ def test_pagerank_fixed(spark, without):
     df = core.QUERIES["pagerank_fixed"](spark, without)
     got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
     assert got == want and len(got) > 100
+
+
+def test_subgraph(spark, without):
+    df = core.QUERIES["subgraph"](spark, without)
+    assert df.columns == ["name", "hop", "parent", "ppr"] and df.count() == 0
+    adj = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("alone",)], "name string")
+    assert tuples(G.local_subgraph(adj, nodes, "alone", steps=2)) == [("alone", 0, None, 1.0)]
+    assert [r[:3] for r in tuples(G.local_subgraph(adj, nodes, "a", steps=2))] == [("a", 0, None), ("b", 1, "a")]
