@@ -358,7 +358,7 @@ def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def subgraph(spark: SparkSession, sf: str) -> DataFrame:
-    """The connected subgraph of the nodes most relevant to an entity."""
+    """The connected subgraph of the nodes most relevant to an entity; empty if it is unknown."""
     adj = cut(adjacency(spark, sf))
     nodes = adj.select(F.col("src").alias("name")).distinct()
     return G.local_subgraph(adj, nodes, SEED, steps=20).select("name", "hop", "parent", F.round("ppr", 6).alias("ppr"))
@@ -580,7 +580,7 @@ def routed_papers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def search_papers(spark: SparkSession, sf: str) -> DataFrame:
-    """Papers around an entity, with snippets and the entity they are reached through."""
+    """Papers around an entity, with snippets and the entity they are reached through; none if it is unknown."""
     return R.search(snapshot(spark, sf), SEED)["papers"].select("paper_id", "n", "year", "via", "snippet_html")
 
 

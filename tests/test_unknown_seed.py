@@ -44,6 +44,11 @@ def test_pagerank_fixed(spark, without):
     assert got == want and len(got) > 100
 
 
+def test_search_papers(spark, without):
+    df = core.QUERIES["search_papers"](spark, without)
+    assert df.columns == ["paper_id", "n", "year", "via", "snippet_html"] and df.count() == 0
+
+
 def test_subgraph(spark, without):
     df = core.QUERIES["subgraph"](spark, without)
     assert df.columns == ["name", "hop", "parent", "ppr"] and df.count() == 0
