@@ -594,7 +594,7 @@ def bridge_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def chat_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts for a question about two entities."""
+    """Facts for a question about two entities, or about the one that is known."""
     return R.facts(snapshot(spark, sf), [SEED, OTHER])
 
 

@@ -49,6 +49,14 @@ def test_search_papers(spark, without):
     assert df.columns == ["paper_id", "n", "year", "via", "snippet_html"] and df.count() == 0
 
 
+def test_chat_facts(spark, without):
+    met = core.snapshot(spark, without)
+    want = R.facts(met, [core.OTHER])
+    df = core.QUERIES["chat_facts"](spark, without)
+    assert tuples(df) == tuples(want) and df.count() > 0
+    assert R.facts(met, [core.SEED]).count() == 0 and R.facts(met, []).count() == 0
+
+
 def test_subgraph(spark, without):
     df = core.QUERIES["subgraph"](spark, without)
     assert df.columns == ["name", "hop", "parent", "ppr"] and df.count() == 0
