@@ -607,7 +607,7 @@ def chat_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def search_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes shown for an entity, with those that only predicted links lead to."""
+    """Nodes shown for an entity, with those that only predicted links lead to; none if it is unknown."""
     return R.search(snapshot(spark, sf), SEED)["nodes"].select("name", "type", "hop", "parent", "degree")
 
 

@@ -57,6 +57,11 @@ def test_chat_facts(spark, without):
     assert R.facts(met, [core.SEED]).count() == 0 and R.facts(met, []).count() == 0
 
 
+def test_search_nodes(spark, without):
+    df = core.QUERIES["search_nodes"](spark, without)
+    assert df.columns == ["name", "type", "hop", "parent", "degree"] and df.count() == 0
+
+
 def test_subgraph(spark, without):
     df = core.QUERIES["subgraph"](spark, without)
     assert df.columns == ["name", "hop", "parent", "ppr"] and df.count() == 0
